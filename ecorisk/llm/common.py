@@ -44,7 +44,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def blocks_for(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """How many blocks df's rows are dealt into: by its estimated bytes, so that a block fits in a task's memory at any size."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(size / block_bytes), 1 << 20))
 
 

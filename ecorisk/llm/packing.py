@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ecorisk.llm.common import table, texts_of
 from ecorisk.llm.tokens import encoder
 
-CAPACITY, GROUP, END = 2048, 512, 1
+CAPACITY, GROUP, END = 2048, 256, 1
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -43,9 +44,9 @@ def differencing(lengths: list[int], windows: int) -> list[list[int]]:
         over = len(a) + len(b) - windows  # windows that get something from both: a's emptiest with b's fullest
         if over > 0:
             both = [(x[0] + y[0], (x[1], y[1])) for x, y in zip(a[len(a) - over :], reversed(b[len(b) - over :]), strict=True)]
-            merged = sorted([*a[: len(a) - over], *b[: len(b) - over], *both], key=lambda x: -x[0])
+            merged = sorted([*a[: len(a) - over], *b[: len(b) - over], *both], key=itemgetter(0), reverse=True)
         else:
-            merged = sorted([*a, *b], key=lambda x: -x[0])
+            merged = sorted([*a, *b], key=itemgetter(0), reverse=True)
         spread = merged[0][0] - (merged[-1][0] if len(merged) == windows else 0)
         heapq.heappush(heap, (-spread, serial, merged))
         serial += 1

@@ -71,38 +71,36 @@ class Encoder(dict):
     def _each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        plain, gap = PLAIN[self.rule], " " if self.rule == "words" else ""
-        known = [i for i, x in enumerate(texts) if plain.fullmatch(x) and "<|" not in x]
-        chunks = [known[k : k + JOINED] for k in range(0, len(known), JOINED)]
-        joined = self._each([gap.join([texts[i] for i in c]) for c in chunks])
-        for c, ids in zip(chunks, joined, strict=True):
-            ends = np.cumsum([len(texts[i].encode()) for i in c])
-            reached = np.cumsum(self.id_bytes[ids])
-            cuts = np.searchsorted(reached, ends) + 1
-            if reached[-1] == ends[-1] and (reached[cuts - 1] == ends).all():
-                for i, own in zip(c, np.split(ids, cuts[:-1]), strict=True):
-                    out[i] = own
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, own in zip(rest, self._each([texts[i] for i in rest]), strict=True):
-            out[i] = own
-        return out
+    def _add(self, numbers: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Keeps the ids of the pieces with these numbers, one after another in `ids`."""
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(self.used + 2 * len(ids), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[numbers] = self.used + np.cumsum(counts) - counts
+        self.count[numbers] = counts
+        self.used += len(ids)
 
     def _learn(self) -> None:
         at, texts = len(self) - len(self.fresh), [self._written(x) for x in self.fresh]
         if len(self) > len(self.first):
             self.first, self.count, self.sure = [np.concatenate([x, np.zeros(2 * len(self) - len(x), x.dtype)]) for x in (self.first, self.count, self.sure)]
-        ids = self._ids(texts)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(self.used + 2 * total, np.uint32)])
-        self.flat[self.used : self.used + total] = np.concatenate(ids)
-        self.first[at : len(self)] = self.used + np.cumsum(n) - n
-        self.count[at : len(self)] = n
-        self.sure[at : len(self)] = [self._certain(x) for x in texts]
-        self.used += total
+        plain, gap = PLAIN[self.rule].fullmatch, " " if self.rule == "words" else ""
+        known = np.array([plain(x) is not None and "<|" not in x for x in texts], bool)
+        own = [x for x, k in zip(texts, known, strict=True) if k]
+        ids = self._each([gap.join(own[k : k + JOINED]) for k in range(0, len(own), JOINED)])
+        reached = np.cumsum(self.id_bytes[np.concatenate(ids)]) if ids else np.empty(0, np.int64)
+        ends = np.cumsum(np.fromiter((len(x.encode()) for x in own), np.int64, len(own)))
+        cuts = np.searchsorted(reached, ends) + 1
+        if own and (cuts[-1] != len(reached) or (reached[cuts - 1] != ends).any()):  # not told apart: one by one
+            known[:], own = False, []
+        if own:
+            self._add(at + np.flatnonzero(known), np.concatenate(ids), np.diff(cuts, prepend=0))
+            self.sure[at + np.flatnonzero(known)] = True
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            ids = self._each([texts[i] for i in rest])
+            self._add(at + rest, np.concatenate(ids), np.array([len(x) for x in ids]))
+            self.sure[at + rest] = [self._certain(texts[i]) for i in rest]
         self.fresh = []
 
     def encode(self, texts: list[str], end: int):
