@@ -112,3 +112,28 @@ def rolling(h: np.ndarray, width: int, seed: int) -> np.ndarray:
     for k, m in enumerate(odd_multipliers(width, seed)):
         out += h[k : k + n] * m
     return mix(out)
+
+
+def flat_words(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, one after another; number of words of each text)."""
+    parts, counts = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for a, b in slices([len(t) for t in texts]):
+        split = [(t.lower() if lower else t).split() for t in texts[a:b]]
+        counts[a:b] = [len(x) for x in split]
+        parts.append(word_hashes([w for x in split for w in x]))
+    return np.concatenate(parts), counts
+
+
+def as_rows(columns: dict[str, list], schema: str) -> pa.Table:
+    """An Arrow table of a Spark schema with long, int, string, binary and boolean columns."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array(columns[n], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
+
+
+def cut_by(keys: np.ndarray, n: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """(bucket, first, last) of ascending `bits`-bit keys, where n buckets split the key range evenly."""
+    width = np.uint64(((1 << bits) + n - 1) // n)
+    bucket = (keys // width).astype(np.int64)
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return [(int(bucket[i]), int(i), int(j)) for i, j in zip(at, [*at[1:], len(keys)], strict=True)]
