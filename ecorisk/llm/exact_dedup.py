@@ -60,9 +60,15 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, all columns kept; of rows with the same id one stays."""
-    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """docs with one row of each group of equal texts, all columns kept; of rows with the same id and text one stays."""
+    digests = materialize(text_digests(docs))
+    index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
+    kept = index.dedup(digests).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    own = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))).cast("binary"), 256)
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (own == kept["_digest"]), "left_semi").select(docs.columns)
+    if digests.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"] + [c for c in ["text"] if c in out.columns])
+    return out
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,23 +107,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
     return train([x[1] for x in got], np.array([x[2] for x in got]))
 
 
+def _scorer(spark: SparkSession, model: Model):
+    """texts -> scores, to be called on executors."""
+    logits, key = spark.sparkContext.broadcast(model.bucket_logits()), uuid.uuid4().hex
+    bias = float(model.bias[1] - model.bias[0])
+
+    def of_words(words):
+        word, bucket = ngram_features(words, ORDERS, BUCKETS, True)
+        return (np.bincount(word, weights=logits.value[bucket]) / np.bincount(word))[:, None]
+
+    def scores(texts: list[str]) -> np.ndarray:
+        sums, n = word_table(key, of_words, 1).sums(texts)
+        return 1 / (1 + np.exp(-np.clip(sums[:, 0] / np.maximum(n, 1) + bias, -500, 500)))
+
+    return scores
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score (0 to 1) of every row of docs (doc_id, text)."""
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    logits, key = docs.sparkSession.sparkContext.broadcast(model.bucket_logits()), uuid.uuid4().hex
-    bias = float(model.bias[1] - model.bias[0])
+    scores = _scorer(docs.sparkSession, model)
 
     def run(batches):
-        def of_words(words):
-            word, bucket = ngram_features(words, ORDERS, BUCKETS, True)
-            return (np.bincount(word, weights=logits.value[bucket]) / np.bincount(word))[:, None]
-
-        words = word_table(key, of_words, 1)
         for batch in batches:
-            sums, n = words.sums(texts_of(batch.column("text")))
-            z = np.clip(sums[:, 0] / np.maximum(n, 1) + bias, -500, 500)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(texts_of(batch.column("text"))))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -134,10 +142,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows predicted toxic, all columns kept."""
-    rejected = toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs without the rows predicted toxic, all columns kept; nothing is shuffled."""
+    model = fit(docs, labels, train_rows)
+    if model is None:
+        return docs
+    scores = _scorer(docs.sparkSession, model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scores(texts_of(batch.column("text"))) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
