@@ -6,8 +6,9 @@ values share one among the first COORDINATES - MATCHES + 1 of both. Documents wi
 are retained from MATCHES agreeing coordinates on and then confirmed on full shingle sets.
 
 First each document meets the smallest document of each of its lists, which joins most copies to one component; lists of
-one component are then skipped, and in those left only pairs across components are looked at, long lists in blocks. At
-similarity 0.75 a pair misses the match threshold with a probability below 1e-8.
+one component are then skipped, and in those left only pairs across components are looked at, long lists in blocks: a
+document with a component at a time, which takes one link to it and leaves the others out, as they change nothing. At
+similarity 0.75, the least that links, a pair misses the match threshold with a probability of about one in a million.
 
 Words are the runs between ASCII white space, A-Z lower-cased; a text of fewer than five words is one shingle, one
 without words or null has none and links with nothing. Documents of equal sets count as one until the end. Rows with a
@@ -28,7 +29,7 @@ from ecorisk.llm.common import as_rows, blocks_for, cut_by, flat_words, material
 from ecorisk.llm.components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
-COORDINATES, MATCHES = 96, 46
+COORDINATES, MATCHES = 192, 114
 PREFIX = COORDINATES - MATCHES + 1
 #: Documents compared with one another, or with one document, at a time.
 LIST_BLOCK = 512
@@ -162,14 +163,18 @@ def matching(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return pairs.join(of[0], "a").join(of[1], "b").mapInArrow(run, "a long, b long")
 
 
+def _texts(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """places (place, doc_id) with each document's text; of rows that repeat an id, one."""
+    texts = docs.select("doc_id", "text").join(places.select("doc_id").distinct(), "doc_id", "left_semi")
+    return places.join(texts.groupBy("doc_id").agg(F.max("text").alias("text")), "doc_id")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, blocks: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough. A document's pairs are dealt out LIST_BLOCK at a time."""
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).alias("parts"))
     dealt = pairs.join(sizes, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
     dealt = materialize(dealt.select("a", "b", "part", F.pmod(F.xxhash64("b", "part"), F.lit(4 * blocks)).alias("block")))
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(dealt.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
-    needed = dealt.select(F.col("block").alias("place"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(texts, "doc_id")
+    needed = _texts(dealt.select(F.col("block").alias("place"), F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
 
     def compare(_, found: pa.Table, named: pa.Table) -> pa.Table:
         ids = found.column("doc_id").to_pylist()
@@ -191,35 +196,88 @@ def confirmed(pairs: DataFrame, docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def across(posted: DataFrame, labels: DataFrame, signed: DataFrame, blocks: int) -> DataFrame:
-    """Pairs of the same list, in different components, that agree on MATCHES coordinates."""
-    of = posted.join(labels.withColumnsRenamed({"node": "doc"}), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = of.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members")).where("x < y")
-    left = of.join(mixed.select("key", F.ceil(F.col("members") / LIST_BLOCK).cast("int").alias("parts")), "key")
-    own = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
-    left = left.select("key", "doc", "component", "parts", own.alias("part"))
+    """(a, component): documents that agree on MATCHES coordinates with a member of another component, found in lists of
+    several components. Of two components the larger one is named, and a is of the other.
+
+    Lists with the same smallest document are looked through together, so that a signature is dealt out once for most of
+    a document's lists; many documents of one such group meet LIST_BLOCK by LIST_BLOCK.
+    """
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sized = labels.join(sizes, "component").withColumnRenamed("node", "doc")
+    of = posted.join(sized, "doc", "left").select("key", "hub", "doc", F.coalesce("component", "doc").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    mixed = of.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    left = materialize(of.join(mixed, "key").select("hub", "doc", "component", "size").distinct())
+    parts = left.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("parts"))
+    left = left.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", "doc", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4 * blocks)))
+    dealt = dealt.select("hub", "doc", "component", "size", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(4 * blocks)))
     dealt = dealt.join(signed.select(F.col("doc_id").alias("doc"), "signature"), "doc")
 
     def compare(t: pa.Table) -> pa.Table:
-        cols = {c: np.array(t.column(c).to_pylist(), np.int64) for c in ("key", "i", "j", "doc", "component", "part")}
+        cols = {c: np.array(t.column(c).to_pylist(), np.int64) for c in ("hub", "i", "j", "doc", "component", "size", "part")}
         signs = _signatures(t.column("signature"))
-        order = np.lexsort((cols["doc"], cols["j"], cols["i"], cols["key"]))
-        name = np.stack([cols[c][order] for c in ("key", "i", "j")])
+        order = np.lexsort((cols["doc"], cols["j"], cols["i"], cols["hub"]))
+        name = np.stack([cols[c][order] for c in ("hub", "i", "j")])
         cuts = np.flatnonzero((np.diff(name, axis=1) != 0).any(axis=0)) + 1
         pairs = set()
         for rows in np.split(order, cuts):
-            doc, component, part, sign_ = cols["doc"][rows], cols["component"][rows], cols["part"][rows], signs[rows]
+            doc, component, size, part, sign_ = cols["doc"][rows], cols["component"][rows], cols["size"][rows], cols["part"][rows], signs[rows]
             alone = cols["i"][rows[0]] == cols["j"][rows[0]]
             for k in range(len(rows) - 1):
                 other = np.flatnonzero((component[k + 1 :] != component[k]) & (alone | (part[k + 1 :] != part[k]))) + k + 1
                 if len(other):
-                    near = other[(sign_[other] == sign_[k]).sum(axis=1) >= MATCHES]
-                    pairs.update((int(doc[x]), int(doc[k])) for x in near)
-        return as_rows({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, "a long, b long")
+                    for x in other[(sign_[other] == sign_[k]).sum(axis=1) >= MATCHES].tolist():
+                        small, large = (k, x) if (size[k], -component[k]) < (size[x], -component[x]) else (x, k)
+                        pairs.add((int(doc[small]), int(component[large])))
+        return as_rows({"a": [p[0] for p in pairs], "component": [p[1] for p in pairs]}, "a long, component long")
+
+    return dealt.groupBy("block").applyInArrow(compare, "a long, component long").distinct()
+
+
+def tied_to(named: DataFrame, labels: DataFrame, docs: DataFrame, blocks: int) -> DataFrame:
+    """For each (a, component), a link (a, b) to a member that is similar enough, if there is one: full sets are compared.
+
+    A component's members stand LIST_BLOCK to a group, which counts the shingles that a document shares with all of them
+    at once and returns one link at most.
+    """
+    wanted = named.select("component").distinct()
+    members = labels.join(wanted, "component", "left_semi").select("component", F.col("node").alias("doc"))
+    single = wanted.join(labels.select("component").distinct(), "component", "left_anti").select("component", F.col("component").alias("doc"))
+    members = materialize(members.union(single))
+    parts = materialize(members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("parts")))
+    inside = members.join(parts, "component").select("component", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), "doc", F.lit(True).alias("member"))
+    asked = named.join(parts, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc"), F.lit(False).alias("member"))
+    dealt = materialize(inside.union(asked).withColumn("block", F.pmod(F.xxhash64("component", "part"), F.lit(blocks))))
+    needed = _texts(dealt.select(F.col("block").alias("place"), F.col("doc").alias("doc_id")).distinct(), docs)
+
+    def compare(_, found: pa.Table, rows: pa.Table) -> pa.Table:
+        ids = found.column("doc_id").to_pylist()
+        sets = dict(zip(ids, shingle_sets(texts_of(found.column("text").combine_chunks(), as_bytes=True)), strict=True)) if ids else {}
+        groups: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        for c, p, doc, member in zip(*[rows.column(x).to_pylist() for x in ("component", "part", "doc", "member")], strict=True):
+            groups.setdefault((c, p), ([], []))[0 if member else 1].append(doc)
+        out_a, out_b = [], []
+        for own, asking in groups.values():
+            if not own or not asking:
+                continue
+            counts = np.array([len(sets[d]) for d in own])
+            shingles, owner = np.concatenate([sets[d] for d in own]), np.repeat(np.arange(len(own)), counts)
+            order = np.argsort(shingles, kind="stable")
+            shingles, owner = shingles[order], owner[order]
+            for a in asking:
+                x = sets[a]
+                first, last = np.searchsorted(shingles, x, "left"), np.searchsorted(shingles, x, "right")
+                n = last - first
+                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                common = np.bincount(owner[at], minlength=len(own))
+                hit = np.flatnonzero(DENOMINATOR * common >= NUMERATOR * (counts + len(x) - common))
+                if len(hit):
+                    out_a.append(a)
+                    out_b.append(own[hit[0]])
+        return as_rows({"a": out_a, "b": out_b}, "a long, b long")
 
-    return dealt.groupBy("block").applyInArrow(compare, "a long, b long").distinct()
+    return needed.groupBy("place").cogroup(dealt.groupBy("block")).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -234,9 +292,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = materialize(matching(hubs, signed))
     links = materialize(confirmed(tried, docs, blocks))
     labels = components(links)
-    more = materialize(across(posted, labels, signed, blocks).join(tried, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = links.union(confirmed(more, docs, blocks))
+    named = materialize(across(posted, labels, signed, blocks))
+    links = links.union(tied_to(named, labels, docs, blocks))
     # rows that repeat a doc_id with another text tie the sets they have
     first = signed.select("digest", F.col("doc_id").alias("first_id"))
     own = every.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(first, "digest").select("doc_id", "n_shingles", "first_id")
