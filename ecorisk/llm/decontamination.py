@@ -56,8 +56,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if items.count() <= BROADCAST_SEEDS:
         items = F.broadcast(items)
     texts = docs.where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+
+    def seeds(i: Column) -> Column:
+        return F.array(*[F.struct(i.alias("at"), F.xxhash64(F.lit(k), *[F.col("w")[i + p] for p in mask]).alias("seed")) for k, mask in enumerate(MASKS)])
+
+    # rows of seeds carry no words: a long text's words beside each of its places would be the square of its length
+    placed = texts.where(F.col("n") >= SPAN).select("doc_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - SPAN), seeds))).alias("s"))
+    hits = materialize(placed.select("doc_id", "s.at", "s.seed").join(items, "seed").drop("seed").distinct())
+    there = hits.select(F.col("doc_id").alias("hit_id")).distinct()
+    some = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("own_id"), "text")
+    some = some.join(there, F.col("own_id").eqNullSafe(F.col("hit_id")), "left_semi").select("own_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     around, before = _around(F.col("w"), F.col("at"), F.col("n"))
-    hits = _seeds(texts).join(items, "seed").select("doc_id", "item_id", "item_n", "at", "item_at", "item_words", "item_before", around.alias("doc_words"), before.alias("doc_before"))
+    hits = hits.join(some, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("at") + SPAN <= F.col("n")))
+    hits = hits.select("doc_id", "item_id", "item_n", "at", "item_at", "item_words", "item_before", around.alias("doc_words"), before.alias("doc_before"))
     # both cut to the same stretch, `skip` words of which stand before the seed
     skip = F.least("doc_before", "item_before")
     of_doc = F.slice("doc_words", F.col("doc_before") - skip + 1, F.lit(2 * WINDOW))
