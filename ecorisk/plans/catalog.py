@@ -153,7 +153,7 @@ def wkb_roundtrip(spark, sf_dir):
 
 
 def eoo_hull(spark, sf_dir):
-    return distribution.eoo(distribution.point_hulls(projected(spark, sf_dir).where("id <= 1500"))).select("ecosystem", F.round("eoo_km2", 2).alias("eoo_km2"))
+    return distribution.eoo(distribution.point_hulls(projected(spark, sf_dir))).select("ecosystem", F.round("eoo_km2", 2).alias("eoo_km2"))
 
 
 HULLS = """edges AS (
@@ -405,7 +405,7 @@ SELECT o_orderkey, lo AS lower, hi AS upper, {_shown("t")} AS category FROM t"""
     "top_ecosystems": f"WITH {RECTANGLES}, {cells_sql('r')} SELECT ecosystem, occupied_cell_count FROM aoo ORDER BY 2 DESC, 1 LIMIT 15",
     "ecosystems_listed": f"WITH {RECTANGLES} SELECT DISTINCT ecosystem FROM r",
     "multi_dataset_union": f"WITH {RECTANGLES}, {cells_sql('r')} SELECT ecosystem, count(*) AS cells, round(sum(extent_m2) / 1e6, 3) AS km2 FROM grid GROUP BY 1",
-    "eoo_hull": f"WITH {PROJECTED.replace('FROM customer', 'FROM customer WHERE c_custkey <= 1500')}, {HULLS} SELECT ecosystem, round(eoo_km2, 2) AS eoo_km2 FROM hull",
+    "eoo_hull": f"WITH {PROJECTED}, {HULLS} SELECT ecosystem, round(eoo_km2, 2) AS eoo_km2 FROM hull",
     "distribution_to_category": f"""WITH {PROJECTED}, {HULLS}, {_SPOTS}, {cells_sql("spots")},
 m AS (SELECT h.ecosystem, eoo_km2, aoo_cells, {_CLASS_E} AS b1, {_CLASS_C} AS b2 FROM hull h JOIN aoo ON aoo.ecosystem = h.ecosystem)
 SELECT ecosystem, round(eoo_km2, 1) AS eoo_km2, aoo_cells, ({_CODES})[b1 + 1] AS b1, ({_CODES})[b2 + 1] AS b2, 'NE' AS b3, ({_CODES})[least(b1, b2) + 1] AS overall, least(b1, b2) <= 3 AS is_threatened FROM m""",
