@@ -8,29 +8,42 @@ give empty results, ties go to the language that sorts first, repeated rows are
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ecorisk.llm.common import bounded_rows, held_out, slices, table, texts_of
+from ecorisk.llm.common import held_out, materialize, slices, table, texts_of
 from ecorisk.llm.subwords import ngram_features, word_table
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, range(1, 4), 0.5
-#: Bound of the labelled rows that the model is fitted on.
-TRAIN_ROWS = 4000
-LETTER = re.compile(r"[^\W\d_]")
+#: Bound of the labelled rows of each language that the model is fitted on.
+TRAIN_ROWS = 1000
+#: Their ids are broadcast up to this number: some 30 MB.
+BROADCAST_IDS = 1_000_000
+#: A word character that is neither a decimal digit nor the underscore: a letter, or another number such as a fraction.
+MAYBE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether the whole text has a character of a letter category."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in MAYBE.finditer(text))
 
 
 def fit(train: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities per bucket and language) from (doc_id, text, lang); at most `rows` rows are read.
+    """(languages, log probabilities per bucket and language) from (doc_id, text, lang); at most `rows` rows of each
+    language are read, so that none is left out.
 
     Counting runs on the executors; the driver gets one vector of BUCKETS counts for each task and language.
     """
-    ids = bounded_rows(train.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id").distinct(), rows)
-    texts = train.where("text IS NOT NULL AND lang IS NOT NULL").join(F.broadcast(ids), "doc_id", "left_semi")
+    known = train.where("text IS NOT NULL AND lang IS NOT NULL")
+    lowest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(lowest)).where(F.col("rank") <= rows)
+    ids = materialize(ids.select("doc_id", "lang"))
+    texts = known.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id", "lang"], "left_semi")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -71,7 +84,7 @@ def predict(docs: DataFrame, langs: list[str], log_p: np.ndarray) -> DataFrame:
         words = word_table(key, words_rows, len(langs))
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            named = np.array([bool(langs) and LETTER.search(t) is not None for t in texts], bool)
+            named = np.array([bool(langs) and has_letter(t) for t in texts], bool)
             pred, prob = np.full(len(texts), "und", object), np.zeros(len(texts))
             if named.any():
                 sums, _ = words.sums([t for t, x in zip(texts, named, strict=True) if x])

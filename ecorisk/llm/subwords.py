@@ -15,9 +15,9 @@ def ngram_features(words: list[str], orders: range, buckets: int, whole: bool) -
 
     Sorted by word. Words must not be empty.
     """
-    codes = np.frombuffer(("<" + ">\0<".join(words) + ">\0").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    ends = codes == 0
-    word = np.cumsum(ends) - ends
+    codes = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2  # a word may hold any character, U+0000 too
+    word = np.repeat(np.arange(len(words)), lengths)
     rows, cols = [], []
     scrambled = mix(codes + np.uint64(1))
     for n in orders:
@@ -27,14 +27,13 @@ def ngram_features(words: list[str], orders: range, buckets: int, whole: bool) -
         h = np.zeros(m, np.uint64)
         for k, x in enumerate(odd_multipliers(n, 7 + n)):
             h += scrambled[k : k + m] * x
-        inside = (word[:m] == word[n - 1 :]) & ~ends[n - 1 :]
+        inside = word[:m] == word[n - 1 :]
         rows.append(word[:m][inside])
         cols.append((mix(h[inside]) % np.uint64(buckets)).astype(np.int64))
     if whole:
-        last = np.flatnonzero(ends)
-        first = np.concatenate([[0], last[:-1] + 1])
-        place = np.arange(len(codes), dtype=np.uint64) - np.repeat(first, last - first + 1).astype(np.uint64)
-        h = np.add.reduceat(mix(scrambled ^ (place * np.uint64(0x9E3779B97F4A7C15))), first)
+        first, far = np.cumsum(lengths) - lengths, np.uint64(0x9E3779B97F4A7C15)
+        place = (np.arange(len(codes)) - first[word]).astype(np.uint64)
+        h = np.add.reduceat(mix(scrambled ^ (place * far)), first) + mix(mix(np.ones(1, np.uint64)) ^ (lengths.astype(np.uint64) * far))
         rows.append(np.arange(len(words)))
         cols.append((mix(h) % np.uint64(buckets)).astype(np.int64))
     row, col = np.concatenate(rows), np.concatenate(cols)

@@ -209,10 +209,10 @@ def test_language(spark, empty):
     rng = np.random.default_rng(0)
     letters = {"aa": "abcdef", "bb": "uvwxyz"}
     rows = [(i, " ".join("".join(rng.choice(list(letters[g]), 6)) for _ in range(30)), g) for i in range(120) for g in ["aa" if i % 2 else "bb"]]
-    rows += [(500, None, "aa"), (501, "12 34", "aa"), (502, "", None)]
+    rows += [(500, None, "aa"), (501, "12 34", "aa"), (502, "", None), (503, "\u00bd \u00b2 12", None), (504, "ab\0cd ef\0\0 abc", None), (505, "\0", "aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in language_id.language_id(df).collect()}
-    assert all(got[i].lang_pred == g for i, _, g in rows[:120]) and all(got[i].lang_pred == "und" for i in (500, 501, 502))
+    assert all(got[i].lang_pred == g for i, _, g in rows[:120]) and all(got[i].lang_pred == "und" for i in (500, 501, 502, 503, 505)) and got[504].lang_pred == "aa"
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
     assert language_id.language_id(empty).count() == 0
 
@@ -229,12 +229,13 @@ def test_toxicity(spark, empty):
             w[5], w[20] = rng.choice(bad, 2)
         rows.append((i, " ".join(w)))
         labels.append((i, 1, toxic))
-    rows += [(900, None), (901, ""), (902, " ".join([*words[:38], "horriblenes", "disgracefull"]))]
+    rows += [(900, None), (901, ""), (902, " ".join([*words[:38], "horriblenes", "disgracefull"])), (903, "a\0b \0 c\0\0"), (0, "a repeated row"), (0, None)]
     df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in toxicity.toxicity(df, marks).collect()}
+    assert len(got) == len(rows) - 2 and toxicity.bags(df.union(df), marks.union(marks), 50).count() == 100
     held = [(got[i].predicted, t) for i, _, t in labels if got[i].held_out]
     assert np.mean([p == t for p, t in held]) > 0.95 and got[902].score > got[901].score and 0 <= got[900].score <= 1
-    assert toxicity.drop_toxic(df, marks).count() == sum(1 for r in got.values() if not r.predicted)
+    assert toxicity.drop_toxic(df, marks).count() == len(rows) - toxicity.toxicity(df, marks).where("predicted = 1").count()
     assert toxicity.toxicity(df, marks.where("toxic = 0")).where("score > 0").count() == 0
 
 
