@@ -45,7 +45,7 @@ def materialize(df: DataFrame) -> DataFrame:
 def blocks_for(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """How many blocks df's rows are dealt into: by its estimated bytes, so that a block fits in a task's memory at any size."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(size / block_bytes), 1 << 20))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / block_bytes))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -136,4 +136,4 @@ def cut_by(keys: np.ndarray, n: int, bits: int = 64) -> list[tuple[int, int, int
     width = np.uint64(((1 << bits) + n - 1) // n)
     bucket = (keys // width).astype(np.int64)
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return [(int(bucket[i]), int(i), int(j)) for i, j in zip(at, [*at[1:], len(keys)], strict=True)]
+    return [(int(bucket[i]), int(i), int(j)) for i, j in zip(at, [*at[1:], len(keys)], strict=True)] if len(keys) else []
