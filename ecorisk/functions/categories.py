@@ -108,15 +108,26 @@ def display(r: Column) -> Column:
     return F.when(r["least"] == r["most"], code_of(r["best"])).otherwise(F.concat(code_of(r["best"]), F.lit(" ("), code_of(r["least"]), F.lit("-"), code_of(r["most"]), F.lit(")")))
 
 
-def most_threatened(ranges: Column) -> Column:
-    """Overall range of an array of ranges, bound by bound: those not evaluated are left out, and data deficient ones too if
-    any other is there."""
-    seen = F.filter(ranges, lambda r: r["best"] != RANK["NE"])
-    sure = F.filter(seen, lambda r: r["best"] != RANK["DD"])
-    some = F.when(F.size(sure) > 0, sure).otherwise(seen)
-    ne = F.lit(RANK["NE"])
-    return F.struct(*[F.coalesce(F.array_min(_field(some, k)), ne).alias(k) for k in ("best", "least", "most")])
-
-
-def _field(ranges: Column, name: str) -> Column:
-    return F.transform(ranges, lambda r: r[name])
+def classify_sql(criterion: str, value: str) -> str:
+    """classify() as SQL text over an expression."""
+    r = rule(criterion)
+    cases = " ".join(f"WHEN {value} <= {float(b['max'])!r}D THEN {RANK[b['category']]}" for b in r["breakpoints"])
+    return f"CASE WHEN {value} IS NULL OR isnan({value}) THEN {RANK['NE']} {cases} ELSE {RANK[r['above_all']]} END"
+
+
+def code_sql(rank: str) -> str:
+    """code_of() as SQL text: all codes have two letters."""
+    return f"substr('{''.join(c[0] for c in CATEGORIES)}', ({rank}) * 2 + 1, 2)"
+
+
+def display_sql(r: str) -> str:
+    """display() as SQL text over columns <r>_best, <r>_least and <r>_most."""
+    return f"CASE WHEN {r}_least = {r}_most THEN {code_sql(r + '_best')} ELSE concat({code_sql(r + '_best')}, ' (', {code_sql(r + '_least')}, '-', {code_sql(r + '_most')}, ')') END"
+
+
+def most_threatened_sql(ranges: list[str], bound: str) -> str:
+    """SQL text of one bound of the overall range of columns <r>_best, <r>_least, <r>_most: those not evaluated are left
+    out, and data deficient ones too if any other is there."""
+    low = ", ".join(f"IF({r}_best < {RANK['DD']}, {r}_{bound}, {RANK['NE']})" for r in ranges)
+    best = ", ".join(f"{r}_best" for r in ranges)
+    return f"CASE WHEN least({best}) < {RANK['DD']} THEN least({low}) ELSE least({best}) END"

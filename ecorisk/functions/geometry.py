@@ -99,50 +99,102 @@ def area(ring: np.ndarray) -> float:
     return float(np.sum(x * np.roll(y, -1) - np.roll(x, -1) * y) / 2)
 
 
-def half_plane(ring: np.ndarray, axis: int, bound: float, above: bool) -> np.ndarray:
-    """The part of a ring on one side of an axis-parallel line; exact in area, with coincident edges where the ring is concave."""
-    if not len(ring):
-        return ring
-    v = ring[:, axis]
-    inside = v >= bound if above else v <= bound
-    if inside.all():
-        return ring
-    after, inside_after = np.roll(ring, -1, axis=0), np.roll(inside, -1)
-    cross = inside != inside_after
-    step = after[:, axis] - v
-    t = np.where(cross, (bound - v) / np.where(step == 0, 1, step), 0)[:, None]
-    meet = ring + t * (after - ring)
-    meet[:, axis] = bound
-    both = np.stack([ring, meet], axis=1)
-    return both[np.stack([inside, cross], axis=1)]
+#: Eastings are rounded to this part of a metre (15 nm), so that sums of their differences are exact and rings close.
+LATTICE = 2.0**26
+
+
+def _split(edges: np.ndarray, owner: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (x0, y0, x1, y1) cut where they cross the grid's lines across an axis, with their owners."""
+    a, b = edges[:, axis], edges[:, axis + 2]
+    first, last = np.floor(a / CELL), np.floor(b / CELL)
+    n = np.abs(last - first).astype(np.int64)
+    at = np.repeat(np.arange(len(edges)), n + 1)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+    up = (last >= first)[at]
+    line = np.where(up, first[at] + 1 + k, first[at] - k) * CELL  # where the k-th piece of an edge ends
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (line - a[at]) / (b - a)[at]
+        other = 1 - axis
+        meet = edges[at, other] + t * (edges[at, other + 2] - edges[at, other])
+    if other == 0:
+        meet = np.round(meet * LATTICE) / LATTICE
+    out, ends = edges[at], k == n[at]
+    out[:, axis + 2], out[:, other + 2] = np.where(ends, out[:, axis + 2], line), np.where(ends, out[:, other + 2], meet)
+    later = np.flatnonzero(k > 0)
+    out[later, :2] = out[later - 1, 2:]
+    return out, owner[at]
+
+
+def ring_extents(points: np.ndarray, ring: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ring, col, row, area) of all rings at once: the area that each ring encloses in each cell, as its turns count.
+
+    points are projected and finite, ring their rings' numbers, ascending. Each edge is cut at the grid's lines; a piece
+    adds the area below it to its own cell and its width to all cells below, so that a sum down each column of cells
+    gives whole cells without visiting them one by one.
+    """
+    points = points.copy()
+    points[:, 0] = np.round(points[:, 0] * LATTICE) / LATTICE
+    new = np.flatnonzero(np.diff(ring, prepend=-1))
+    after = np.arange(1, len(points) + 1)
+    after[np.append(new[1:], len(points)) - 1] = new
+    edges, owner = _split(*_split(np.concatenate([points, points[after]], axis=1), ring, 0), 1)
+    width = edges[:, 2] - edges[:, 0]
+    some = width != 0
+    edges, owner, width = edges[some], owner[some], width[some]
+    if not len(edges):
+        return owner, owner, owner, width
+    middle = (edges[:, :2] + edges[:, 2:]) / 2
+    col, row = (np.floor(middle[:, k] / CELL).astype(np.int64) for k in (0, 1))
+    order = np.lexsort((-row, col, owner))
+    owner, col, row, width, high = owner[order], col[order], row[order], -width[order], middle[order, 1]
+    first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(col, prepend=col[0]) != 0) | (np.diff(row, prepend=row[0]) != 0))
+    below = np.add.reduceat(width * (high - row * CELL), first)
+    whole = np.cumsum(np.add.reduceat(width, first))  # of a column's pieces the widths cancel out, so that none leaks on
+    owner, col, row = owner[first], col[first], row[first]
+    area_ = below + CELL * np.concatenate([[0.0], whole[:-1]])
+    gap = np.zeros(len(row), np.int64)
+    gap[:-1] = np.where((owner[1:] == owner[:-1]) & (col[1:] == col[:-1]) & (whole[:-1] != 0), row[:-1] - row[1:] - 1, 0)
+    inside = np.repeat(np.arange(len(row)), gap)
+    step = np.arange(len(inside)) - np.repeat(np.cumsum(gap) - gap, gap)
+    owner, col, row = (np.concatenate([x, y]) for x, y in ((owner, owner[inside]), (col, col[inside]), (row, row[inside] - 1 - step)))
+    return owner, col, row, np.abs(np.concatenate([area_, CELL * whole[inside]]))
+
+
+def cells_of(points: np.ndarray, ring: np.ndarray, polygon: np.ndarray, outer: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, col, row, area): net area (exteriors less holes) of each polygon in each cell where that is positive, summed by group.
+
+    points belong to rings by number; polygon and outer are by ring, group is by polygon.
+    """
+    finite = np.isfinite(points).all(axis=1)
+    owner, col, row, a = ring_extents(points[finite], ring[finite])
+    owner, col, row, a = _summed(polygon[owner], col, row, np.where(outer[owner], a, -a))
+    some = a > 0
+    return _summed(group[owner[some]], col[some], row[some], a[some])
+
+
+def _summed(owner: np.ndarray, col: np.ndarray, row: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    if not len(owner):
+        return owner, col, row, a
+    order = np.lexsort((row, col, owner))
+    owner, col, row, a = owner[order], col[order], row[order], a[order]
+    first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(col, prepend=col[0]) != 0) | (np.diff(row, prepend=row[0]) != 0))
+    return owner[first], col[first], row[first], np.add.reduceat(a, first)
 
 
 def cell_extents(rings: list[np.ndarray]) -> dict[tuple[int, int], float]:
-    """Net area of a projected polygon (exterior less holes) in each cell where that is positive."""
-    out: dict[tuple[int, int], float] = {}
-    for k, ring in enumerate(rings):
-        ring = ring[np.isfinite(ring).all(axis=1)]
-        if len(ring) < 3:
-            continue
-        x0, x1 = (int(np.floor(f(ring[:, 0]) / CELL)) for f in (np.min, np.max))
-        for col in range(x0, x1 + 1):
-            strip = half_plane(half_plane(ring, 0, col * CELL, True), 0, (col + 1) * CELL, False)
-            if len(strip) < 3:
-                continue
-            y0, y1 = (int(np.floor(f(strip[:, 1]) / CELL)) for f in (np.min, np.max))
-            for row in range(y0, y1 + 1):
-                low = half_plane(strip, 1, row * CELL, True)
-                share = abs(area(half_plane(low, 1, (row + 1) * CELL, False)))
-                if share:
-                    out[col, row] = out.get((col, row), 0.0) + (share if k == 0 else -share)
-                strip = half_plane(strip, 1, (row + 1) * CELL, True)
-    return {cell: a for cell, a in out.items() if a > 0}
+    """Net area of one projected polygon (exterior less holes) in each cell where that is positive."""
+    sizes = [len(r) for r in rings]
+    _, col, row, a = cells_of(np.concatenate([np.empty((0, 2)), *rings]), np.repeat(np.arange(len(rings)), sizes), np.zeros(len(rings), np.int64), np.arange(len(rings)) == 0, np.zeros(1, np.int64))
+    return dict(zip(zip(col.tolist(), row.tolist(), strict=True), a.tolist(), strict=True))
 
 
 def hull(points: np.ndarray) -> np.ndarray:
     """Counter-clockwise convex hull without collinear points. Of points on one line the two ends stay, so that hulls of
     parts can be merged in any order."""
-    points = np.unique(points[np.isfinite(points).all(axis=1)], axis=0)
+    points = points[np.isfinite(points).all(axis=1)]
+    if len(points) > 64:
+        points = points[~_well_inside(points)]
+    points = np.unique(points, axis=0)
     if len(points) < 3:
         return points
 
@@ -156,3 +208,14 @@ def hull(points: np.ndarray) -> np.ndarray:
 
     lower, upper = half(points.tolist()), half(points[::-1].tolist())
     return np.array(lower[:-1] + upper[:-1])
+
+
+def _well_inside(points: np.ndarray) -> np.ndarray:
+    """Which points lie within the octagon of the extreme points in eight directions, and so can't be corners of the hull."""
+    x, y = points[:, 0], points[:, 1]
+    ends = points[[v.argmin() for v in (x, x + y, y, y - x, -x, -x - y, -y, x - y)]]  # counter-clockwise from the west
+    inside = np.ones(len(points), bool)
+    for p, q in zip(ends, np.roll(ends, -1, axis=0), strict=True):
+        if (p != q).any():
+            inside &= (q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]) > 0
+    return inside & bool((ends != ends[0]).any())

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ecorisk.functions.categories import RULES, classify_sql, code_sql
+
 # The WGS84 ellipsoid and the grid.
 AXIS = 6378137.0
 FLATTENING = 1 / 298.257223563
@@ -78,11 +80,12 @@ def register(spark) -> None:
     finite = "abs(lon) < double('Infinity') AND abs(lat) < double('Infinity')"
     sine = "sin(radians(greatest(-90D, least(90D, lat))))"
     q = f"{1 - E2!r}D * ({sine} / (1D - {E2!r}D * {sine} * {sine}) - ln((1D - {ECC!r}D * {sine}) / (1D + {ECC!r}D * {sine})) / {2 * ECC!r}D)"
+    of = " ".join(f"WHEN criterion = '{c}' THEN {code_sql(classify_sql(c, 'v'))}" for c in RULES)
     bodies = {
         "project_x(lon DOUBLE, lat DOUBLE) RETURNS DOUBLE": f"CASE WHEN {finite} THEN {AXIS!r}D * radians(lon) ELSE double('NaN') END",
         "project_y(lon DOUBLE, lat DOUBLE) RETURNS DOUBLE": f"CASE WHEN {finite} THEN {AXIS!r}D * {q} / 2D ELSE double('NaN') END",
         "cell_of(v DOUBLE) RETURNS INT": f"CAST(greatest(-2147483648L, least(2147483647L, floor(CASE WHEN isnan(v) THEN 0D ELSE v END / {CELL!r}D))) AS INT)",
-        "category_of(criterion STRING, v DOUBLE) RETURNS STRING": "CASE WHEN v IS NULL OR isnan(v) THEN 'NE' WHEN criterion = 'B1' THEN CASE WHEN v <= 2000D THEN 'CR' WHEN v <= 20000D THEN 'EN' WHEN v <= 50000D THEN 'VU' ELSE 'LC' END WHEN criterion = 'B2' THEN CASE WHEN v <= 2D THEN 'CR' WHEN v <= 20D THEN 'EN' WHEN v <= 50D THEN 'VU' ELSE 'LC' END END",
+        "category_of(criterion STRING, v DOUBLE) RETURNS STRING": f"CASE {of} ELSE CAST(raise_error(concat('no threshold table for ', criterion)) AS STRING) END",
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

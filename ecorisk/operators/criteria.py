@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ecorisk import __version__
-from ecorisk.functions.categories import RANK, SHA256, classify_estimate, code_of, display, estimate, most_threatened, rule, span, thresholds
+from ecorisk.functions.categories import CATEGORIES, RANK, SHA256, classify_sql, code_sql, display_sql, most_threatened_sql, rule, thresholds
 
 METRICS = ("eoo_km2", "eoo_lower", "eoo_upper", "aoo_cells", "aoo_lower", "aoo_upper")
 STATUSES = ("a_i", "a_ii", "a_iii", "b", "b3_rapid_collapse")
@@ -31,177 +31,179 @@ NOTES = {
 NOTE = "struct<kind:string,pending:array<string>,locations:int,max_locations:int>"
 
 
-def _is(name: str, status: str) -> Column:
-    return F.col(name) == status
-
-
-def _a(status: str) -> Column:
-    """Clause (a): met if any aspect is, not met if all are not, else not assessed."""
-    some = F.greatest(*[_is(c, "met") for c in ("a_i", "a_ii", "a_iii")])
-    none = F.least(*[_is(c, "not_met") for c in ("a_i", "a_ii", "a_iii")])
-    return {"met": some, "not_met": ~some & none, "not_assessed": ~some & ~none}[status]
+# SQL text over a completed frame. Clause (a) is met if any aspect is, and not met if none can be.
+A_MET = "(a_i = 'met' OR a_ii = 'met' OR a_iii = 'met')"
+A_OPEN = f"(NOT {A_MET} AND NOT (a_i = 'not_met' AND a_ii = 'not_met' AND a_iii = 'not_met'))"
+OPEN = f"({A_OPEN} OR b = 'not_assessed' OR locations_kind IN ('insufficient_information', 'not_assessed'))"
+PENDING = {"a": A_OPEN, "b": "b = 'not_assessed'", "c": "locations_kind = 'not_assessed'"}
+LETTERS = "array_compact(array(" + ", ".join(f"IF({when}, '{k}', NULL)" for k, when in PENDING.items()) + "))"
 
 
 def max_locations(criterion: str, level: str) -> int | None:
     return next((b["max_locations"] for b in rule(criterion)["location_bounds"] if b["category"] == level), None)
 
 
-def metric_meets(criterion: str, level: str, value: Column) -> Column:
+def _met(criterion: str, level: str) -> str:
+    bound = max_locations(criterion, level)
+    few = f" OR (locations_kind = 'count' AND locations <= {bound})" if bound is not None else ""
+    return f"({A_MET} OR b = 'met'{few})"
+
+
+def metric_meets(criterion: str, level: str, value: str) -> str:
     """Whether a breakpoint of that level holds the value; true if the criterion has no breakpoints."""
     bounds = rule(criterion)["breakpoints"]
-    if not bounds:
-        return F.lit(True)
-    return F.greatest(F.lit(False), *[value <= float(b["max"]) for b in bounds if b["category"] == level])
+    own = [f"{value} <= {float(b['max'])!r}D" for b in bounds if b["category"] == level]
+    return "true" if not bounds else f"({' OR '.join(own) or 'false'})"
 
 
 def gate_at(criterion: str, level: str) -> tuple[Column, Column]:
     """(met, unknown) of the sub-conditions at a level."""
-    bound = max_locations(criterion, level)
-    few = (F.col("locations_kind") == "count") & (F.col("locations") <= bound) if bound is not None else F.lit(False)
-    met = _a("met") | _is("b", "met") | few
-    return met, ~met & (_a("not_assessed") | _is("b", "not_assessed") | F.col("locations_kind").isin("insufficient_information", "not_assessed"))
+    met = _met(criterion, level)
+    return F.expr(met), F.expr(f"NOT {met} AND {OPEN}")
 
 
-def gated(df: DataFrame) -> DataFrame:
-    """df with the gates as columns _met_<criterion>_<level> and _open_..., so that each is computed once."""
-    gates = {(c, level): gate_at(c, level) for c in ("B1", "B2") for level in LEVELS}
-    return df.withColumns({f"_{n}_{c}_{level}": g[k] for (c, level), g in gates.items() for k, n in enumerate(("met", "open"))})
-
-
-def level_reached(criterion: str, value: Column, optimistic: bool) -> Column:
-    """Rank of the first level whose metric and gate hold (of a gated frame); an unknown gate counts as met unless optimistic."""
-    out = F.lit(RANK["LC"])
-    for level in reversed(LEVELS):
-        met, unknown = F.col(f"_met_{criterion}_{level}"), F.col(f"_open_{criterion}_{level}")
-        out = F.when(metric_meets(criterion, level, value) & (met if optimistic else met | unknown), RANK[level]).otherwise(out)
-    return out
+def level_reached(criterion: str, value: str, optimistic: bool) -> str:
+    """Rank of the first level whose metric and gate hold; an unknown gate counts as met unless optimistic."""
+    gates = {level: f"_met_{criterion}_{level}" + ("" if optimistic else " OR _open") for level in LEVELS}
+    cases = " ".join(f"WHEN {metric_meets(criterion, level, value)} AND ({gates[level]}) THEN {RANK[level]}" for level in LEVELS)
+    return f"CASE {cases} ELSE {RANK['LC']} END"
 
 
 def pending() -> Column:
     """Letters of the clauses that are not assessed."""
-    open_ = {"a": _a("not_assessed"), "b": _is("b", "not_assessed"), "c": _is("locations_kind", "not_assessed")}
-    return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in open_.items()]))
-
-
-def _note(kind: str, when: Column, letters: Column | None = None, bound: int | None = None) -> Column:
-    empty = F.lit(None).cast("array<string>")
-    return F.when(
-        when,
-        F.struct(
-            F.lit(kind).alias("kind"),
-            (empty if letters is None else letters).alias("pending"),
-            (F.lit(None).cast("int") if bound is None else F.col("locations")).alias("locations"),
-            F.lit(bound).cast("int").alias("max_locations"),
-        ),
-    )
-
-
-def _notes(*notes: Column) -> Column:
-    return F.array_compact(F.array(*notes)).cast(f"array<{NOTE}>")
-
-
-def _near_threatened(criterion: str) -> Column:
-    return (F.col("locations_kind") == "count") & (F.col("locations") <= NT_TRIGGER[criterion])
-
-
-def _point(code: str) -> Column:
-    return span(F.lit(RANK[code]), F.lit(RANK[code]), F.lit(RANK[code]))
-
-
-def with_spatial(df: DataFrame, criterion: str, best: str, lower: str, upper: str) -> DataFrame:
-    """A gated frame with _t_, _r_ and _n_<criterion>: threshold range (null without a metric), range and notes of B1 or
-    B2. The order of the cases is part of the rule."""
-    e, t, listed = F.col("_e"), F.col(f"_t_{criterion}"), F.col("_listed")
-    df = df.withColumn("_e", estimate(F.col(best), F.col(lower), F.col(upper)))
-    df = df.withColumn(f"_t_{criterion}", F.when(F.col(best).isNotNull() & ~F.isnan(best), classify_estimate(criterion, e)))
-    cautious = level_reached(criterion, e["lower"], False)
-    df = df.withColumn("_listed", F.struct(level_reached(criterion, e["best"], False).alias("best"), level_reached(criterion, e["upper"], True).alias("least"), cautious.alias("most")))
-    above = t["most"] == RANK["LC"]
-    deficient = _is("locations_kind", "insufficient_information") & ~_a("met") & ~_is("b", "met")
-    df = df.withColumn("_case", F.when(t.isNull(), "missing").when(above, "above").when(deficient, "deficient").otherwise("listed"))
-    case = F.col("_case")
-    out = F.when(case == "missing", _point("NE")).when(case == "above", t).when(case == "deficient", _point("DD")).otherwise(span(listed["best"], listed["least"], listed["most"]))
-    letters, rest = F.col("_pending"), case == "listed"
-    notes = _notes(
-        _note("metric_missing", case == "missing"),
-        _note("metric_above_all_thresholds", case == "above"),
-        _note("locations_insufficient_information", case == "deficient"),
-        _note("subconditions_not_assessed", rest & (F.size(letters) > 0), letters=letters),
-        _note("subconditions_refuted", rest & (F.size(letters) == 0) & (listed["most"] == RANK["LC"])),
-        _note("near_threatened_may_apply", rest & _near_threatened(criterion), bound=NT_TRIGGER[criterion]),
-    )
-    return df.withColumns({f"_r_{criterion}": out, f"_n_{criterion}": notes}).drop("_e", "_listed", "_case")
-
-
-def b3() -> tuple[Column, Column]:
-    """(range, notes) of B3: both limbs, never above VU."""
-    kind, bound = F.col("locations_kind"), max_locations("B3", "VU")
-    few_met = (kind == "count") & (F.col("locations") <= bound)
-    few_not = ((kind == "count") & (F.col("locations") > bound)) | (kind == "no_plausible_threats")
-    untouched = (kind == "not_assessed") & _is("b3_rapid_collapse", "not_assessed")
-    deficient = ~untouched & (kind == "insufficient_information")
-    rest = ~untouched & ~deficient
-    refuted = few_not | _is("b3_rapid_collapse", "not_met")
-    both = few_met & _is("b3_rapid_collapse", "met")
-    open_ = span(F.lit(RANK["VU"]), F.lit(RANK["LC"]), F.lit(RANK["VU"]))
-    out = F.when(untouched, _point("NE")).when(deficient, _point("DD")).when(refuted, _point("LC")).when(both, _point("VU")).otherwise(open_)
-    notes = _notes(
-        _note("b3_not_assessed", untouched | (rest & ~refuted & ~both)),
-        _note("locations_insufficient_information", deficient),
-        _note("near_threatened_may_apply", rest & _near_threatened("B3"), bound=NT_TRIGGER["B3"]),
-    )
-    return out, notes
-
-
-def note_text(n: Column) -> Column:
+    return F.expr(LETTERS)
+
+
+def _spatial(criterion: str, best: str) -> list[dict[str, str]]:
+    """Columns of B1 or B2 in three steps: threshold range _t_ and levels _l_, the case, the range _r_. The order of the
+    cases is part of the rule."""
+    c, ne, dd, lc = criterion, RANK["NE"], RANK["DD"], RANK["LC"]
+    e = {"best": best, "lower": f"_lower_{c}", "upper": f"_upper_{c}"}
+    first = {f"_t_{c}_{k}": classify_sql(c, v) for k, v in e.items()}
+    first |= {f"_l_{c}_{k}": level_reached(c, v, k == "upper") for k, v in e.items()}
+    second = {f"_t_{c}_least": f"greatest(_t_{c}_lower, _t_{c}_upper)", f"_t_{c}_most": f"least(_t_{c}_lower, _t_{c}_upper)"}
+    deficient = f"locations_kind = 'insufficient_information' AND NOT {A_MET} AND b <> 'met'"
+    second[f"_case_{c}"] = f"CASE WHEN {best} IS NULL THEN 0 WHEN least(_t_{c}_lower, _t_{c}_upper) = {lc} THEN 1 WHEN {deficient} THEN 2 ELSE 3 END"
+    listed = {"best": f"_l_{c}_best", "least": f"greatest(_l_{c}_lower, _l_{c}_upper)", "most": f"least(_l_{c}_lower, _l_{c}_upper)"}
+    third = {f"_r_{c}_{k}": f"CASE _case_{c} WHEN 0 THEN {ne} WHEN 1 THEN _t_{c}_{k} WHEN 2 THEN {dd} ELSE {x} END" for k, x in listed.items()}
+    return [first, second, third]
+
+
+def _spatial_notes(c: str) -> dict[str, str]:
+    """When each note of B1 or B2 is made, in order."""
+    return {
+        "metric_missing": f"_case_{c} = 0",
+        "metric_above_all_thresholds": f"_case_{c} = 1",
+        "locations_insufficient_information": f"_case_{c} = 2",
+        "subconditions_not_assessed": f"_case_{c} = 3 AND _pending > 0",
+        "subconditions_refuted": f"_case_{c} = 3 AND _pending = 0 AND _r_{c}_most = {RANK['LC']}",
+        "near_threatened_may_apply": f"_case_{c} = 3 AND locations_kind = 'count' AND locations <= {NT_TRIGGER[c]}",
+    }
+
+
+def _b3() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """Case, range and notes of B3: both limbs, never above VU."""
+    bound, lc, vu = max_locations("B3", "VU"), RANK["LC"], RANK["VU"]
+    many = f"locations_kind = 'count' AND locations > {bound}"
+    few = f"locations_kind = 'count' AND locations <= {bound}"
+    case = f"""CASE WHEN locations_kind = 'not_assessed' AND b3_rapid_collapse = 'not_assessed' THEN 0 WHEN locations_kind = 'insufficient_information' THEN 1
+        WHEN ({many}) OR locations_kind = 'no_plausible_threats' OR b3_rapid_collapse = 'not_met' THEN 2 WHEN {few} AND b3_rapid_collapse = 'met' THEN 3 ELSE 4 END"""
+    ranks = {"best": vu, "least": lc, "most": vu}
+    columns = {f"_r_B3_{k}": f"CASE _case_B3 WHEN 0 THEN {RANK['NE']} WHEN 1 THEN {RANK['DD']} WHEN 2 THEN {lc} WHEN 3 THEN {vu} ELSE {x} END" for k, x in ranks.items()}
+    notes = {
+        "b3_not_assessed": "_case_B3 IN (0, 4)",
+        "locations_insufficient_information": "_case_B3 = 1",
+        "near_threatened_may_apply": f"_case_B3 > 1 AND locations_kind = 'count' AND locations <= {NT_TRIGGER['B3']}",
+    }
+    return {"_case_B3": case}, columns, notes
+
+
+def _sentence(kind: str, criterion: str) -> str:
     """A note's sentence."""
-    out = F.lit(None).cast("string")
-    for kind, text in NOTES.items():
-        out = F.when(n["kind"] == kind, F.lit(text)).otherwise(out)
-    letters = F.array_join(F.transform(n["pending"], lambda x: F.concat(F.lit("("), x, F.lit(")"))), ", ")
-    some = F.concat(F.lit("sub-condition"), F.when(F.size(n["pending"]) == 1, "").otherwise("s"), F.lit(" "), letters, F.lit(" not assessed, so the listing is provisional"))
-    near = F.concat(
-        F.lit("with "), n["locations"].cast("string"), F.lit(" threat-defined locations (<= "), n["max_locations"].cast("string"),
-        F.lit("), Near Threatened may apply under Guidelines Box 13 step 6(iv) if information is insufficient and less than 30% of the distribution is unthreatened"),
-    )
-    return F.when(n["kind"] == "subconditions_not_assessed", some).when(n["kind"] == "near_threatened_may_apply", near).otherwise(out)
+    if kind == "subconditions_not_assessed":
+        letters = ", ".join(f"IF({when}, '({k})', NULL)" for k, when in PENDING.items())
+        return f"concat('sub-condition', IF(_pending = 1, '', 's'), ' ', concat_ws(', ', {letters}), ' not assessed, so the listing is provisional')"
+    if kind == "near_threatened_may_apply":
+        return f"concat('with ', CAST(locations AS STRING), ' threat-defined locations (<= {NT_TRIGGER[criterion]}), Near Threatened may apply under Guidelines Box 13 step 6(iv) if information is insufficient and less than 30% of the distribution is unthreatened')"
+    return f"'{NOTES[kind]}'"
+
+
+def _struct(kind: str, criterion: str) -> str:
+    """A note as a struct."""
+    letters = LETTERS if kind == "subconditions_not_assessed" else "NULL"
+    at = ("locations", str(NT_TRIGGER[criterion])) if kind == "near_threatened_may_apply" else ("NULL", "NULL")
+    return f"CAST(named_struct('kind', '{kind}', 'pending', {letters}, 'locations', {at[0]}, 'max_locations', {at[1]}) AS {NOTE})"
 
 
 def completed(df: DataFrame) -> DataFrame:
-    """df with all input columns: those missing are null, NaN metrics are null, statuses are trimmed and lower-cased."""
-    have = set(df.columns)
-    cols = {c: (F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) if c in have else F.lit(None).cast("double")) for c in METRICS}
-    cols |= {c: F.coalesce(F.lower(F.trim(c)), F.lit("not_assessed")) if c in have else F.lit("not_assessed") for c in STATUSES}
-    for c in STATUSES:
-        cols[c] = F.when(cols[c].isin("met", "not_met", "not_assessed"), cols[c]).otherwise(F.raise_error(F.concat(F.lit(f"{c}: not a status: "), cols[c])))
-    kind = F.coalesce("locations_kind", F.lit("not_assessed")) if "locations_kind" in have else (F.when(F.col("locations").isNotNull(), "count").otherwise("not_assessed") if "locations" in have else F.lit("not_assessed"))
-    return df.withColumns(cols | {"locations_kind": kind, "locations": F.col("locations").cast("int") if "locations" in have else F.lit(None).cast("int")})
+    """df with all input columns: those missing are null, NaN metrics are null, statuses are trimmed and lower-cased, a
+    count without a number is not assessed."""
+    have = {c.lower() for c in df.columns}
+    cols = {c: f"nanvl(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE))" if c in have else "CAST(NULL AS DOUBLE)" for c in METRICS}
+    cols |= {c: f"coalesce(lower(trim({c})), 'not_assessed')" if c in have else "'not_assessed'" for c in STATUSES}
+    some = "CASE WHEN locations IS NOT NULL THEN 'count' ELSE 'not_assessed' END" if "locations" in have else "'not_assessed'"
+    cols["locations_kind"] = "coalesce(locations_kind, 'not_assessed')" if "locations_kind" in have else some
+    cols["locations"] = "CAST(locations AS INT)" if "locations" in have else "CAST(NULL AS INT)"
+    checked = {c: f"CASE WHEN {c} IN ('met', 'not_met', 'not_assessed') THEN {c} ELSE CAST(raise_error(concat('{c}: not a status: ', {c})) AS STRING) END" for c in STATUSES if c in have}
+    checked["locations_kind"] = "CASE WHEN locations_kind = 'count' AND locations IS NULL THEN 'not_assessed' ELSE locations_kind END"
+    return _with(_with(df, cols), checked)
+
+
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({k: F.expr(x) for k, x in columns.items()})
+
+
+def _settled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """_with() by a generator of one row, which the optimizer doesn't look through: a filter on a result would otherwise
+    have the whole chain of definitions written out in place, thousands of times."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*[F.expr(x).alias(k) for k, x in columns.items()]))))
 
 
 def assess_criterion_b(df: DataFrame) -> DataFrame:
-    """df and b1, b2, b3, overall (displayed ranges), b1_threshold, b2_threshold, is_threatened, results (ranges and notes
-    per sub-criterion), notes (sentences), guidelines_version, thresholds_sha256, engine."""
-    df = gated(completed(df)).withColumn("_pending", pending())
-    df = with_spatial(df, "B1", "eoo_km2", "eoo_lower", "eoo_upper")
-    df = with_spatial(df, "B2", "aoo_cells", "aoo_lower", "aoo_upper")
-    df = df.withColumns(dict(zip(("_r_B3", "_n_B3"), b3(), strict=True)))
-    each = ("B1", "B2", "B3")
-    df = df.withColumn("_overall", most_threatened(F.array(*[F.col(f"_r_{c}") for c in each])))
-    out = df.withColumns(
-        {c.lower(): display(F.col(f"_r_{c}")) for c in each}
-        | {f"{c.lower()}_threshold": F.when(F.col(f"_t_{c}").isNotNull(), display(F.col(f"_t_{c}"))) for c in ("B1", "B2")}
-        | {
-            "results": F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(f"_r_{c}").alias("range"), F.col(f"_n_{c}").alias("notes")) for c in each]),
-            "overall": display(F.col("_overall")),
-            "overall_code": code_of(F.col("_overall")["best"]),
-            "is_threatened": F.col("_overall")["best"] <= RANK["VU"],
-            "notes": F.transform(F.concat(*[F.col(f"_n_{c}") for c in each]), note_text),
-            "guidelines_version": F.lit(thresholds()["guidelines_version"]),
-            "thresholds_sha256": F.lit(SHA256),
-            "engine": F.lit(f"ecorisk {__version__}"),
-        }
-    )
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    """df and b1, b2, b3, overall (displayed ranges), b1_threshold, b2_threshold, overall_code, is_threatened, results
+    (ranges and notes per sub-criterion), notes (sentences), guidelines_version, thresholds_sha256, engine.
+
+    Ranks are small integers in columns of their own, step by step, so that each is computed once in generated code.
+    """
+    metrics = {"B1": ("eoo_km2", "eoo_lower", "eoo_upper"), "B2": ("aoo_cells", "aoo_lower", "aoo_upper")}
+    each, df = ("B1", "B2", "B3"), completed(df)
+    facts = {"_open": OPEN, "_pending": " + ".join(f"CAST({when} AS INT)" for when in PENDING.values())}
+    for c, (best, one, other) in metrics.items():
+        both = f"{one} IS NOT NULL AND {other} IS NOT NULL"
+        facts |= {f"_lower_{c}": f"IF({both}, least({one}, {other}), {best})", f"_upper_{c}": f"IF({both}, greatest({one}, {other}), {best})"}
+        facts |= {f"_met_{c}_{level}": _met(c, level) for level in LEVELS}
+    df = _with(df, facts)
+    b3_case, b3_range, b3_notes = _b3()
+    steps = [_spatial(c, best) for c, (best, _, _) in metrics.items()]
+    for k, more in enumerate(({}, b3_case, b3_range)):
+        df = _settled(df, steps[0][k] | steps[1][k] | more)
+    df = _settled(df, {f"_o_{k}": most_threatened_sql([f"_r_{c}" for c in each], k) for k in ("best", "least", "most")})
+    notes = {"B1": _spatial_notes("B1"), "B2": _spatial_notes("B2"), "B3": b3_notes}
+    said = ", ".join(f"IF({when}, {_sentence(kind, c)}, NULL)" for c, own in notes.items() for kind, when in own.items())
+    made = {c: ", ".join(f"IF({when}, {_struct(kind, c)}, NULL)" for kind, when in own.items()) for c, own in notes.items()}
+    ranges = {c: ", ".join(f"'{k}', _r_{c}_{k}" for k in ("best", "least", "most")) for c in each}
+    results = ", ".join(f"named_struct('criterion', '{c}', 'range', named_struct({ranges[c]}), 'notes', CAST(array_compact(array({made[c]})) AS array<{NOTE}>))" for c in each)
+    out = {c.lower(): display_sql(f"_r_{c}") for c in each}
+    out |= {f"{c.lower()}_threshold": f"IF({best} IS NOT NULL, {display_sql(f'_t_{c}')}, NULL)" for c, (best, _, _) in metrics.items()}
+    out |= {"results": f"array({results})", "overall": display_sql("_o"), "overall_code": code_sql("_o_best"), "is_threatened": f"_o_best <= {RANK['VU']}"}
+    out |= {"_said": f"concat_ws('\\n', {said})", "guidelines_version": f"'{thresholds()['guidelines_version']}'", "thresholds_sha256": f"'{SHA256}'", "engine": f"'ecorisk {__version__}'"}
+    df = _with(_with(df, out), {"notes": "IF(_said = '', CAST(array() AS array<string>), split(_said, '\\n'))"})
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
+def documents(assessed: DataFrame) -> DataFrame:
+    """Assessed rows and `document`: overall category, ranges, metrics, notes (each said once, in order) and provenance as
+    JSON."""
+    fields = ["overall", "overall_code", "is_threatened", "b1", "b2", "b3", "b1_threshold", "b2_threshold", "eoo_km2", "aoo_cells"]
+    doc = F.struct(*fields, F.array_distinct("notes").alias("notes"), "guidelines_version", "thresholds_sha256", "engine")
+    return assessed.withColumn("document", F.to_json(doc))
+
+
+def report(assessed: DataFrame, name: str, limit: int = 15) -> DataFrame:
+    """Text lines of the most threatened rows, worst first: name, overall, b1, b2, b3 in columns of fixed width."""
+    rank = F.expr(f"locate(overall_code, '{''.join(c[0] for c in CATEGORIES)}')")
+    line = F.concat(F.rpad(F.col(name).cast("string"), 32, " "), *[F.rpad(F.col(c), 14, " ") for c in ("overall", "b1", "b2", "b3")])
+    return assessed.orderBy(rank, name).limit(limit).select(F.rtrim(line).alias("line"))
 
 
 def result_of(df: DataFrame, criterion: str) -> DataFrame:
@@ -237,8 +239,8 @@ def parse_clauses(clauses) -> dict[str, str]:
     return out
 
 
-def criterion_b(spark: SparkSession, eoo_km2=None, aoo_cells=None, eoo_bounds=None, aoo_bounds=None, clauses=(), locations=None, no_plausible_threats: bool = False, locations_insufficient_information: bool = False) -> dict:
-    """One assessment from loose input, as a dict."""
+def _given(eoo_km2=None, aoo_cells=None, eoo_bounds=None, aoo_bounds=None, clauses=(), locations=None, no_plausible_threats: bool = False, locations_insufficient_information: bool = False) -> tuple:
+    """A row of CASE from loose input."""
     if sum((locations is not None, no_plausible_threats, locations_insufficient_information)) > 1:
         raise ValueError("give one of locations, no_plausible_threats and locations_insufficient_information")
     for b in (eoo_bounds, aoo_bounds):
@@ -247,6 +249,18 @@ def criterion_b(spark: SparkSession, eoo_km2=None, aoo_cells=None, eoo_bounds=No
     kind = "count" if locations is not None else "no_plausible_threats" if no_plausible_threats else "insufficient_information" if locations_insufficient_information else "not_assessed"
     status = dict.fromkeys(STATUSES, "not_assessed") | parse_clauses(clauses)
     values = [eoo_km2, *(eoo_bounds or (None, None)), aoo_cells, *(aoo_bounds or (None, None))]
-    row = (*[None if v is None else float(v) for v in values], *[status[c] for c in STATUSES], kind, locations)
-    schema = ", ".join([f"{c} double" for c in METRICS] + [f"{c} string" for c in STATUSES] + ["locations_kind string", "locations int"])
-    return assess_criterion_b(spark.createDataFrame([row], schema)).first().asDict(recursive=True)
+    return (*[None if v is None else float(v) for v in values], *[status[c] for c in STATUSES], kind, locations)
+
+
+CASE = ", ".join([f"{c} double" for c in METRICS] + [f"{c} string" for c in STATUSES] + ["locations_kind string", "locations int"])
+
+
+def assess_cases(spark: SparkSession, cases: list[dict]) -> DataFrame:
+    """Assessments from loose input, numbered by `case`: each is a dict of criterion_b's arguments."""
+    return assess_criterion_b(spark.createDataFrame([(k, *_given(**c)) for k, c in enumerate(cases)], f"case int, {CASE}"))
+
+
+def criterion_b(spark: SparkSession, **given) -> dict:
+    """One assessment from loose input, as a dict: eoo_km2, aoo_cells, eoo_bounds, aoo_bounds, clauses, locations,
+    no_plausible_threats, locations_insufficient_information."""
+    return assess_cases(spark, [given]).drop("case").first().asDict(recursive=True)

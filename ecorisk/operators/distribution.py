@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ecorisk.functions import geometry
 from ecorisk.functions.spatial import CELL, CELL_AREA, GRID_CRS, cover_cells, interval_overlap, ring_area
+from ecorisk.storage import materialize
 
-EXTENTS = "ecosystem string, col int, row int, extent_m2 double"
 CUTOFF, MARGIN = 0.01, 1e-9
 
 
@@ -40,35 +40,85 @@ def _present(df: DataFrame) -> DataFrame:
     return df.where(F.col("geometry").isNotNull()).select(F.coalesce("ecosystem", F.lit("")).alias("ecosystem"), "geometry")
 
 
-def _decoded(batch, validate: bool):
-    """(ecosystem, projected rings) of each polygon in a batch."""
-    for eco, data in zip(batch.column("ecosystem").to_pylist(), batch.column("geometry").to_pylist(), strict=True):
-        for rings in geometry.read_wkb(data):
-            if not rings:
-                continue
-            if validate:
-                if not len(rings[0]):
-                    raise ValueError(f"{eco}: a polygon needs an exterior ring")
-                for ring in rings:
-                    bad = np.flatnonzero(~np.isfinite(ring).all(axis=1) | (np.abs(ring) > (180, 90)).any(axis=1))
-                    if len(bad):
-                        _check(eco, *ring[bad[0]])
-            yield eco, [geometry.project(r) for r in rings]
-
+class _Batch:
+    """The polygons of an Arrow batch as arrays: points belong to rings, rings to polygons, polygons to ecosystems."""
 
-def polygon_extents(df: DataFrame, validate: bool = True) -> DataFrame:
-    """Area of each polygon in each cell it touches, summed per batch before it leaves the task."""
+    def __init__(self, batch, validate: bool):
+        self.ecosystems: list[str] = []
+        index: dict[str, int] = {}
+        rings, polygon, outer, group = [], [], [], []
+        for eco, data in zip(batch.column("ecosystem").to_pylist(), batch.column("geometry").to_pylist(), strict=True):
+            for own in geometry.read_wkb(data):
+                if validate and own and not len(own[0]):
+                    raise ValueError(f"{eco}: a polygon needs an exterior ring")
+                if own:
+                    polygon += [len(group)] * len(own)
+                    outer += [True] + [False] * (len(own) - 1)
+                    group.append(index.setdefault(eco, len(index)))
+                    rings += own
+        self.ecosystems = list(index)
+        self.polygon, self.outer, self.group = np.array(polygon, np.int64), np.array(outer, bool), np.array(group, np.int64)
+        points = np.concatenate([np.empty((0, 2)), *rings])
+        self.ring = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
+        if validate:
+            bad = np.flatnonzero(~np.isfinite(points).all(axis=1) | (np.abs(points) > (180, 90)).any(axis=1))
+            if len(bad):
+                _check(self.ecosystems[self.group[self.polygon[self.ring[bad[0]]]]], *points[bad[0]])
+        self.points = geometry.project(points)
+
+    def cells(self) -> pa.RecordBatch:
+        """Area by ecosystem and cell, as rows of MEASURED."""
+        group, col, row, a = geometry.cells_of(self.points, self.ring, self.polygon, self.outer, self.group)
+        ecos = pa.array(self.ecosystems, pa.string()).take(pa.array(group))
+        none = pa.nulls(len(a), pa.float64())
+        return pa.RecordBatch.from_arrays([ecos, pa.array(col.astype(np.int32)), pa.array(row.astype(np.int32)), pa.array(a), none, none], names=_NAMES)
+
+    def add_corners(self, parts: dict[str, np.ndarray]) -> None:
+        """Merges the hulls of the exteriors into those of `parts`."""
+        at = np.flatnonzero(self.outer[self.ring]) if len(self.ring) else np.empty(0, np.int64)
+        owner = self.group[self.polygon[self.ring[at]]]
+        order = np.argsort(owner, kind="stable")
+        first = np.flatnonzero(np.diff(owner[order], prepend=-1))
+        for k, own in zip(owner[order][first].tolist(), np.split(self.points[at[order]], first[1:]), strict=True) if len(first) else ():
+            eco = self.ecosystems[k]
+            parts[eco] = geometry.hull(np.concatenate([parts[eco], own]) if eco in parts else own)
+
+
+#: Rows of a cell (col, row, extent_m2) or of a hull's point (x, y).
+MEASURED = "ecosystem string, col int, row int, extent_m2 double, x double, y double"
+_NAMES = [f.split()[0] for f in MEASURED.split(", ")]
+
+
+def measured(df: DataFrame, validate: bool = True, cells: bool = True, corners: bool = True) -> DataFrame:
+    """Each polygon decoded and projected once: its area in each cell it touches, summed per batch, and the hulls of each
+    task's exteriors by ecosystem."""
 
     def run(batches):
+        parts: dict[str, np.ndarray] = {}
         for batch in batches:
-            total: dict[tuple[str, int, int], float] = {}
-            for eco, rings in _decoded(batch, validate):
-                for (col, row), a in geometry.cell_extents(rings).items():
-                    total[eco, col, row] = total.get((eco, col, row), 0.0) + a
-            ecos, cols, rows = zip(*total, strict=True) if total else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ecos, pa.string()), pa.array(cols, pa.int32()), pa.array(rows, pa.int32()), pa.array(list(total.values()), pa.float64())], ["ecosystem", "col", "row", "extent_m2"])
+            own = _Batch(batch, validate)
+            if corners:
+                own.add_corners(parts)
+            if cells:
+                yield own.cells()
+        points = _points(parts)
+        none = [pa.nulls(points.num_rows, t) for t in (pa.int32(), pa.int32(), pa.float64())]
+        yield pa.RecordBatch.from_arrays([points.column("ecosystem"), *none, points.column("x"), points.column("y")], names=_NAMES)
+
+    return _present(df).mapInArrow(run, MEASURED)
+
 
-    return _present(df).mapInArrow(run, EXTENTS)
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.where("col IS NOT NULL").select("ecosystem", "col", "row", "extent_m2")
+
+
+def _corners(rows: DataFrame) -> DataFrame:
+    return rows.where("x IS NOT NULL").select("ecosystem", "x", "y")
+
+
+def polygon_extents(df: DataFrame, validate: bool = True) -> DataFrame:
+    """Area of each polygon in each cell it touches, summed per batch before it leaves the task."""
+    return _cells(measured(df, validate, corners=False))
 
 
 def rectangle_extents(df: DataFrame, x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1", weight: Column | None = None) -> DataFrame:
@@ -91,38 +141,48 @@ def class_mask(value: Column, wanted: float) -> Column:
     return (value == F.lit(float(wanted))).cast("double")
 
 
-def aoo_grid(extents: DataFrame, capacity: float = CELL_AREA) -> DataFrame:
-    """Occupied cells: ecosystem, col, row, extent_m2 (capped at a cell's area), fraction, overfull."""
-    total = extents.groupBy("ecosystem", "col", "row").agg(F.sum("extent_m2").alias("raw")).where((F.col("raw") > 0) & (F.col("raw") < float("inf")))
+def aoo_grid(extents: DataFrame, capacity: float = CELL_AREA, strict: bool = False) -> DataFrame:
+    """Occupied cells: ecosystem, col, row, extent_m2 (capped at a cell's area), fraction, overfull.
+
+    `strict` sums decimals of a millionth of a square metre, so that results don't depend on the order of the rows, bit by
+    bit; extents that aren't finite are then left out row by row.
+    """
+    value = F.col("extent_m2").cast("decimal(28,6)") if strict else F.col("extent_m2")
+    total = extents.groupBy("ecosystem", "col", "row").agg(F.sum(value).cast("double").alias("raw")).where((F.col("raw") > 0) & (F.col("raw") < float("inf")))
     return total.select("ecosystem", "col", "row", F.least("raw", F.lit(capacity)).alias("extent_m2"), (F.least("raw", F.lit(capacity)) / capacity).alias("fraction"), (F.col("raw") > capacity).alias("overfull"))
 
 
 def one_percent(grid: DataFrame) -> DataFrame:
-    """Per ecosystem: aoo_cells after leaving out the smallest cells that together hold up to 1 %, occupied_cell_count,
-    total_extent, threshold_margin, near_boundary, overfull_cells.
+    """Per ecosystem: total_extent, occupied_cell_count, overfull_cells, aoo_cells after leaving out the smallest cells that
+    together hold up to 1 %, threshold_margin, near_boundary.
 
     The running share needs an ecosystem's cells in order, smallest first, row by row (ROWS, as equal extents must not
-    share a value). Rows are cells, not features, so that the ordered part stays small beside the input.
+    share a value). Rows are cells, not features, at most as many as the grid has, so that the ordered part stays small
+    beside the input. One shuffle serves both sums and the aggregation.
     """
-    totals = grid.groupBy("ecosystem").agg(F.sum("extent_m2").alias("total_extent"), F.count(F.lit(1)).alias("occupied_cell_count"), F.count_if("overfull").alias("overfull_cells"))
-    cells = grid.join(totals.select("ecosystem", "total_extent"), "ecosystem")
-    before = Window.partitionBy("ecosystem").orderBy("extent_m2", "col", "row").rowsBetween(Window.unboundedPreceding, 0)
-    share = cells.withColumn("share", F.sum("extent_m2").over(before) / F.col("total_extent"))
-    counts = share.groupBy("ecosystem").agg(F.count_if(F.col("share") > CUTOFF).alias("aoo_cells"), F.min(F.abs(F.col("share") - CUTOFF)).alias("threshold_margin"))
-    return totals.join(counts, "ecosystem").withColumn("near_boundary", F.col("threshold_margin") < MARGIN)
+    own = Window.partitionBy("ecosystem")
+    before = own.orderBy("extent_m2", "col", "row").rowsBetween(Window.unboundedPreceding, 0)
+    cells = grid.select("ecosystem", "extent_m2", "overfull", F.sum("extent_m2").over(before).alias("running"), F.sum("extent_m2").over(own).alias("total_extent"))
+    share = F.col("running") / F.col("total_extent")
+    out = cells.groupBy("ecosystem").agg(
+        F.max("total_extent").alias("total_extent"),
+        F.count(F.lit(1)).alias("occupied_cell_count"),
+        F.count_if("overfull").alias("overfull_cells"),
+        F.count_if(share > CUTOFF).alias("aoo_cells"),
+        F.min(F.abs(share - CUTOFF)).alias("threshold_margin"),
+    )
+    return out.withColumn("near_boundary", F.col("threshold_margin") < MARGIN)
 
 
 def hulls(df: DataFrame, validate: bool = True) -> DataFrame:
     """Convex hull of the exteriors per ecosystem, ARRAY<STRUCT<x, y>>: of each task's points first, then of those hulls."""
+    return merged_hulls(_corners(measured(df, validate, cells=False)))
 
-    def run(batches):
-        parts: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for eco, rings in _decoded(batch, validate):
-                parts[eco] = geometry.hull(np.concatenate([parts[eco], rings[0]]) if eco in parts else rings[0])
-        yield _points(parts)
 
-    return merged_hulls(_present(df).mapInArrow(run, "ecosystem string, x double, y double"))
+def folded(df: DataFrame, validate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(extents, hulls) of features, from one pass over them that is written as a table."""
+    rows = materialize(measured(df, validate))
+    return _cells(rows), merged_hulls(_corners(rows))
 
 
 def point_hulls(points: DataFrame) -> DataFrame:
@@ -180,8 +240,8 @@ def distribution_metrics(df: DataFrame, validate: bool = True) -> DataFrame:
 
     An ecosystem is listed if one of its polygons has a finite vertex, though none of its cells may have area.
     """
-    hull_rows = hulls(df, validate)
-    return assembled(hull_rows.where(F.size("hull") > 0).select("ecosystem"), one_percent(aoo_grid(polygon_extents(df, validate))), eoo(hull_rows))
+    extents, hull_rows = folded(df, validate)
+    return assembled(hull_rows.where(F.size("hull") > 0).select("ecosystem"), one_percent(aoo_grid(extents)), eoo(hull_rows))
 
 
 def summary(metrics: DataFrame) -> DataFrame:
@@ -189,3 +249,26 @@ def summary(metrics: DataFrame) -> DataFrame:
     one = F.struct("ecosystem", "eoo_km2", "aoo_cells", "occupied_cell_count", "aoo_near_boundary")
     rows = metrics.agg(F.array_sort(F.collect_list(one)).alias("ecosystems"), F.coalesce(F.sum("overfull_cells"), F.lit(0)).alias("overfull_cells"))
     return rows.select(F.to_json(F.struct("ecosystems", "overfull_cells", F.lit(GRID_CRS).alias("grid_crs"), F.lit(CELL).alias("cell_size_m"))).alias("summary"))
+
+
+def cells(extents: DataFrame, ecosystem: str) -> DataFrame:
+    """An ecosystem's occupied cells in order: col, row, extent_m2, fraction; none for an ecosystem that isn't there."""
+    return aoo_grid(extents.where(F.col("ecosystem") == ecosystem)).select("col", "row", "extent_m2", "fraction").orderBy("col", "row")
+
+
+def overfull(extents: DataFrame) -> DataFrame:
+    """The cells that hold more than their own area, which means that polygons overlap there: ecosystem, col, row."""
+    return aoo_grid(extents).where("overfull").select("ecosystem", "col", "row").orderBy("ecosystem", "col", "row")
+
+
+def metric_of(metrics: DataFrame, ecosystem: str, name: str) -> float:
+    """One number of distribution_metrics(); 0 for an ecosystem that isn't there."""
+    row = metrics.where(F.col("ecosystem") == ecosystem).select(name).first()
+    return 0 if row is None else row[0]
+
+
+def unexpected_cells(extents: DataFrame, expected: DataFrame) -> DataFrame:
+    """Cells (ecosystem, col, row) that only one of both has: `side` is `extra` or `missing`."""
+    own, keys = aoo_grid(extents).select("ecosystem", "col", "row"), ["ecosystem", "col", "row"]
+    extra, missing = own.join(expected, keys, "left_anti"), expected.select(*keys).join(own, keys, "left_anti")
+    return extra.withColumn("side", F.lit("extra")).unionByName(missing.withColumn("side", F.lit("missing")))

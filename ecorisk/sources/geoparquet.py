@@ -1,13 +1,14 @@
-"""GeoParquet: footer metadata on the driver, data through Spark's own scan with pushed filters."""
+"""GeoParquet: footers read by tasks, data through Spark's own scan with pushed filters."""
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEVERITIES = ["error", "warning", "note"]
@@ -62,10 +63,25 @@ def _files(path: str) -> tuple[fs.FileSystem, list[str]]:
     return system, sorted(x.path for x in system.get_file_info(fs.FileSelector(at, recursive=True)) if x.path.endswith(".parquet"))
 
 
-def footers(path: str) -> list[tuple[str, pq.FileMetaData]]:
-    """The footers of a file or folder; no data is read."""
-    system, files = _files(path)
-    return [(f, pq.read_metadata(f, filesystem=system)) for f in files]
+def per_footer(spark: SparkSession, path: str, rows_of, schema: str) -> DataFrame:
+    """The rows that `rows_of(file, metadata)` gives for each footer of a file or folder; no data is read.
+
+    The driver lists the files, tasks open their footers.
+    """
+    files = _files(path)[1]
+    if not files:
+        raise FileNotFoundError(f"no Parquet file in {path}")
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[f.split()[1]] for f in schema.split(", ")]
+
+    def run(batches):
+        system = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
+        for f in (f for b in batches for f in b.column("file").to_pylist()):
+            rows = list(rows_of(f, pq.read_metadata(f, filesystem=system)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    listed = spark.createDataFrame([(f,) for f in files], "file string")
+    return listed.repartition(min(len(files), 1000)).mapInArrow(run, schema)
 
 
 def geo_metadata(meta: pq.FileMetaData) -> Geo:
@@ -124,60 +140,134 @@ def schema_findings(meta: pq.FileMetaData) -> list[tuple[str, str]]:
 
 
 def check_structure(spark: SparkSession, path: str) -> DataFrame:
-    rows = [(f, *x) for f, m in footers(path) for x in structure(m) + schema_findings(m)]
-    return spark.createDataFrame(rows, "file string, severity string, message string")
+    return per_footer(spark, path, lambda f, m: [(f, *x) for x in structure(m) + schema_findings(m)], "file string, severity string, message string")
 
 
-def validate(path: str, ecosystem: str) -> Geo:
-    """Raises from footers alone, before any data is read."""
-    geo = None
-    for f, meta in footers(path):
-        geo, have = geo_metadata(meta), _leaves(meta)
+def validate(spark: SparkSession, path: str, ecosystem: str) -> Geo:
+    """The metadata of the first file; raises from footers alone, before any data is read, where a file can't be read or
+    lacks the column."""
+
+    def faults(f, meta):
+        have = _leaves(meta)
         bad = [m for s, m in structure(meta) if s == "error" and "bounding-box" not in m]
-        if bad:
-            raise ValueError(f"{f}: {bad[0]}")
         if ecosystem not in have:
-            raise ValueError(f"{f}: no column `{ecosystem}`; there are: {', '.join(have)}")
-    if geo is None:
-        raise FileNotFoundError(f"no Parquet file in {path}")
-    return geo
+            bad.append(f"no column `{ecosystem}`; there are: {', '.join(have)}")
+        return [(f, x) for x in bad[:1]]
 
+    bad = per_footer(spark, path, faults, "file string, message string").orderBy("file").first()
+    if bad is not None:
+        raise ValueError(f"{bad['file']}: {bad['message']}")
+    system, files = _files(path)
+    return geo_metadata(pq.read_metadata(files[0], filesystem=system))
 
-def inspect(spark: SparkSession, path: str) -> DataFrame:
-    """One row per row group from footers: rows, bytes, geometry bytes, bounds from the covering's statistics."""
-    rows = []
-    for f, meta in footers(path):
+
+def schema_of(spark: SparkSession, path: str) -> DataFrame:
+    """The leaf columns of the first file: position, column, kind, and whether it holds geometry."""
+    system, files = _files(path)
+    meta = pq.read_metadata(files[0], filesystem=system)
+    geo = geo_metadata(meta)
+    rows = [(i, meta.schema.column(i).path, meta.schema.column(i).physical_type, meta.schema.column(i).path in geo.columns) for i in range(meta.num_columns)]
+    return spark.createDataFrame(rows, "position int, column string, kind string, is_geometry boolean")
+
+
+def inspect(spark: SparkSession, path: str, ecosystem: str | None = None) -> DataFrame:
+    """One row per row group from footers: rows, bytes, geometry bytes, CRS, bounds from the covering's statistics, and
+    the least and greatest ecosystem where its column is named."""
+
+    def rows_of(f, meta):
         geo, have = geo_metadata(meta), _leaves(meta)
         for g in range(meta.num_row_groups):
             group = meta.row_group(g)
             column = {have[c]: group.column(c) for c in range(group.num_columns)}
             bounds = []
             for corner, side in (("xmin", "min"), ("ymin", "min"), ("xmax", "max"), ("ymax", "max")):
-                c = column.get(".".join(geo.covering[corner])) if geo.covering else None
-                s = c.statistics if c is not None else None
-                bounds.append(float(getattr(s, side)) if s is not None and s.has_min_max else None)
-            own = column.get(geo.primary)
-            rows.append((f, g, group.num_rows, sum(c.total_compressed_size for c in column.values()), own.total_compressed_size if own is not None else None, geo.crs_code or "OGC:CRS84", *bounds))
-    return spark.createDataFrame(rows, "file string, row_group int, rows long, bytes long, geometry_bytes long, crs string, xmin double, ymin double, xmax double, ymax double")
+                s = _statistics(column.get(".".join(geo.covering[corner]))) if geo.covering else None
+                bounds.append(None if s is None else float(getattr(s, side)))
+            own, s = column.get(geo.primary), _statistics(column.get(ecosystem))
+            yield f, g, group.num_rows, sum(c.total_compressed_size for c in column.values()), None if own is None else own.total_compressed_size, geo.crs_code or "OGC:CRS84", *bounds, *((None, None) if s is None else (s.min, s.max))
+
+    return per_footer(spark, path, rows_of, "file string, row_group int, rows long, bytes long, geometry_bytes long, crs string, xmin double, ymin double, xmax double, ymax double, first_ecosystem string, last_ecosystem string")
+
+
+def _statistics(column):
+    s = None if column is None else column.statistics
+    return s if s is not None and s.has_min_max else None
+
+
+def largest_group(spark: SparkSession, path: str) -> DataFrame:
+    """The row group with the most geometry, which bounds what a reader holds at a time."""
+    return inspect(spark, path).orderBy(F.desc("geometry_bytes"), "file", "row_group").limit(1)
 
 
 def read_plan(spark: SparkSession, path: str, ecosystem: str, bbox=None, ecosystems=None) -> DataFrame:
     """inspect() and `read`: whether the group's statistics leave it in; unknown ones do."""
-    groups = inspect(spark, path)
     keep = F.lit(True)
     if bbox is not None:
         keep &= F.coalesce((F.col("xmin") <= bbox[2]) & (F.col("xmax") >= bbox[0]) & (F.col("ymin") <= bbox[3]) & (F.col("ymax") >= bbox[1]), F.lit(True))
     if ecosystems is not None:
-        ranges = []
-        for f, meta in footers(path):
-            at = _leaves(meta).index(ecosystem)
-            for g in range(meta.num_row_groups):
-                s = meta.row_group(g).column(at).statistics
-                known = s is not None and s.has_min_max
-                ranges.append((f, g, not known or any(s.min <= e <= s.max for e in ecosystems)))
-        groups = groups.join(spark.createDataFrame(ranges, "file string, row_group int, wanted boolean"), ["file", "row_group"])
-        keep &= F.col("wanted")
-    return groups.withColumn("read", keep)
+        some = [F.lit(e).between(F.col("first_ecosystem"), F.col("last_ecosystem")) for e in ecosystems]
+        keep &= F.coalesce(F.greatest(F.lit(False), *some), F.lit(True)) if some else F.lit(False)
+    return inspect(spark, path, ecosystem).withColumn("read", keep)
+
+
+def column_ranges(spark: SparkSession, path: str, ecosystem: str) -> DataFrame:
+    """The bytes of each row group's geometry, ecosystem and bounding-box columns: file, row_group, column, start, stop."""
+
+    def rows_of(f, meta):
+        geo, have = geo_metadata(meta), _leaves(meta)
+        wanted = {geo.primary, ecosystem} | ({".".join(v) for v in geo.covering.values()} if geo.covering else set())
+        for g in range(meta.num_row_groups):
+            for c in (c for c in range(meta.num_columns) if have[c] in wanted):
+                own = meta.row_group(g).column(c)
+                start = min(x for x in (own.data_page_offset, own.dictionary_page_offset) if x)
+                yield f, g, have[c], start, start + own.total_compressed_size
+
+    return per_footer(spark, path, rows_of, "file string, row_group int, column string, start long, stop long")
+
+
+def merged_ranges(ranges: DataFrame, key: str = "file") -> DataFrame:
+    """Ranges (key, start, stop) with those that touch or overlap merged; gaps are never bridged."""
+    own = Window.partitionBy(key).orderBy("start", "stop")
+    before, running = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
+    marked = ranges.withColumn("new", F.when(F.col("start") <= F.max("stop").over(before), 0).otherwise(1))
+    islands = marked.withColumn("island", F.sum("new").over(running))
+    return islands.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
+
+
+def plan_ranges(spark: SparkSession, path: str, ecosystem: str, bbox=None, ecosystems=None) -> DataFrame:
+    """The merged byte ranges that a filtered read needs: file, start, stop."""
+    groups = read_plan(spark, path, ecosystem, bbox, ecosystems).where("read").select("file", "row_group")
+    return merged_ranges(column_ranges(spark, path, ecosystem).join(groups, ["file", "row_group"]).select("file", "start", "stop"))
+
+
+def read_report(spark: SparkSession, path: str | list[str], ecosystem: str, bbox=None, ecosystems=None) -> DataFrame:
+    """What a filtered read of each dataset comes to: path, groups_read, groups_skipped, features (those that pass the
+    filters), bytes_planned, bytes_total (of the columns read)."""
+    out = None
+    for p in [path] if isinstance(path, str) else path:
+        plan = read_plan(spark, p, ecosystem, bbox, ecosystems).select("file", "row_group", "read")
+        sized = column_ranges(spark, p, ecosystem).groupBy("file", "row_group").agg(F.sum(F.col("stop") - F.col("start")).alias("size"))
+        zero = F.lit(0).cast("long")
+        groups = plan.join(sized, ["file", "row_group"]).select("read", "size", zero.alias("features"))
+        rows = read(spark, p, ecosystem, bbox, ecosystems).agg(F.count(F.lit(1)).alias("features"))
+        both = groups.unionByName(rows.select(F.lit(None).cast("boolean").alias("read"), zero.alias("size"), "features"))
+        one = both.agg(
+            F.lit(p).alias("path"),
+            F.count_if("read").alias("groups_read"),
+            F.count_if(~F.col("read")).alias("groups_skipped"),
+            F.sum("features").alias("features"),
+            F.sum(F.when(F.col("read"), F.col("size")).otherwise(zero)).alias("bytes_planned"),
+            F.sum("size").alias("bytes_total"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def distribution_from(spark: SparkSession, path: str | list[str], ecosystem: str, bbox=None, ecosystems=None, check: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(metrics, read report) of one or more datasets in one call."""
+    from ecorisk.operators.distribution import distribution_metrics
+
+    return distribution_metrics(read(spark, path, ecosystem, bbox, ecosystems), check), read_report(spark, path, ecosystem, bbox, ecosystems)
 
 
 def read(spark: SparkSession, path: str | list[str], ecosystem: str, bbox=None, ecosystems=None) -> DataFrame:
@@ -185,7 +275,7 @@ def read(spark: SparkSession, path: str | list[str], ecosystem: str, bbox=None,
     intersection with a feature's covering. Both filters and the two columns reach the Parquet scan."""
     out = None
     for p in [path] if isinstance(path, str) else path:
-        geo = validate(p, ecosystem)
+        geo = validate(spark, p, ecosystem)
         df = spark.read.parquet(p)
         if ecosystems is not None:
             df = df.where(F.col(ecosystem).isin(list(ecosystems)))
@@ -200,7 +290,6 @@ def read(spark: SparkSession, path: str | list[str], ecosystem: str, bbox=None,
 def write(df: DataFrame, path: str, ecosystem: str = "ecosystem", row_group: int = 10_000) -> None:
     """Features as GeoParquet with bounding boxes, one file per task, ordered by ecosystem so that groups can be skipped."""
     import numpy as np
-    import pyarrow as pa
     from pyspark import TaskContext
 
     from ecorisk.functions.geometry import read_wkb

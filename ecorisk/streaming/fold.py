@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecorisk.operators.distribution import aoo_grid, assembled, eoo, hulls, merged_hulls, one_percent, polygon_extents
+from ecorisk.operators.distribution import aoo_grid, assembled, eoo, folded, merged_hulls, one_percent
 
 
 class Assessment:
@@ -33,7 +33,7 @@ class Assessment:
         last = self._last()
         if batch <= last:
             return
-        new, shape = polygon_extents(features), hulls(features)
+        new, shape = folded(features)
         if last >= 0:
             new = new.unionByName(self.extents())
         total = new.groupBy("ecosystem", "col", "row").agg(F.sum("extent_m2").alias("extent_m2"))
@@ -42,6 +42,15 @@ class Assessment:
         if last >= 0:
             points = merged_hulls(points.unionByName(self.points())).select("ecosystem", F.explode("hull").alias("p")).select("ecosystem", "p.x", "p.y")
         points.write.mode("overwrite").parquet(f"{self.path}/{batch}/points")
+        self._forget(batch)
+
+    def _forget(self, batch: int) -> None:
+        """Removes the states before the last but one, which no reader can still be going on with."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = sorted(int(s.getPath().getName()) for s in system.listStatus(hadoop) if s.getPath().getName().isdigit() and int(s.getPath().getName()) < batch)
+        for n in old[:-1]:
+            system.delete(self.spark._jvm.org.apache.hadoop.fs.Path(hadoop, str(n)), True)
 
     def metrics(self) -> DataFrame:
         shape = merged_hulls(self.points())

@@ -33,6 +33,7 @@ def test_one_degree_square(spark):
     assert json.loads(d.summary(d.distribution_metrics(d.features(spark, [("T1", [square(0, 0, 1)])]))).first().summary)["cell_size_m"] == 10000
 
 
+# fixed values: published cases of the 1 % rule
 @pytest.mark.parametrize("extents, expected", [([0.5] * 4, (4, 4)), ([0.001, 1], (1, 2)), ([1, 99], (1, 2)), ([0, 0, 5], (1, 1)), ([1.0] * 145 + [0.1] * 10, (145, 155))])
 def test_one_percent(spark, extents, expected):
     rows = spark.createDataFrame([("e", i, 0, float(x)) for i, x in enumerate(extents)], "ecosystem string, col int, row int, extent_m2 double")
@@ -96,6 +97,14 @@ def test_geoparquet(spark, tmp_path):
     assert geoparquet.inspect(spark, path).agg(F.sum("rows")).first()[0] == 8
     assert geoparquet.read_plan(spark, path, "ecosystem", ecosystems=["E1"]).where("read").count() < geoparquet.inspect(spark, path).count()
     assert geoparquet.check_structure(spark, path).where("severity = 'error'").count() == 0
+    whole = geoparquet.read_report(spark, path, "ecosystem").first()
+    part = geoparquet.read_report(spark, path, "ecosystem", ecosystems=["E1"]).first()
+    assert (whole.groups_skipped, whole.features, part.features) == (0, 8, 1) and part.bytes_planned < whole.bytes_planned == whole.bytes_total
+    assert geoparquet.largest_group(spark, path).count() == 1 and geoparquet.schema_of(spark, path).where("is_geometry").first().column == "geometry"
+    metrics, report = geoparquet.distribution_from(spark, [path, path], "ecosystem", bbox=(9, 0, 21, 1))
+    assert metrics.count() == 2 and report.agg(F.sum("features")).first()[0] == 4
+    ranges = spark.createDataFrame([("a", 0, 10), ("a", 10, 20), ("a", 15, 18), ("a", 21, 30), ("b", 5, 6)], "file string, start long, stop long")
+    assert sorted(map(tuple, geoparquet.merged_ranges(ranges).collect())) == [("a", 0, 20), ("a", 21, 30), ("b", 5, 6)]
     with pytest.raises(ValueError, match="there are"):
         geoparquet.read(spark, path, "code")
     assert "data.source.coop" in geoparquet.failure_hint("https://source.coop/x")
@@ -116,7 +125,7 @@ def test_raster(spark, tmp_path):
         raster.write_tiled(path, values, 256, (0.0, 0.0), 10000.0, deflate)
         spark.dataSource.register(raster.TiledRaster)
         df = spark.read.format("tiledraster").load(path)
-        assert df.rdd.getNumPartitions() == 4
+        assert df.rdd.getNumPartitions() == 1  # small tiles share a task
         got = {(r.px_col, r.px_row): r.value for r in df.where("(px_col, px_row) IN ((255, 255), (256, 0), (0, 256), (511, 511), (300, 100))").collect()}
         assert got == {(255, 255): 27, (256, 0): 4, (0, 256): 32, (511, 511): 63, (300, 100): 12}
         assert spark.read.format("tiledraster").option("window", "250,250,10,10").load(path).count() == 100
@@ -127,6 +136,56 @@ def test_raster(spark, tmp_path):
         spark.read.format("tiledraster").load(path).count()
 
 
+def test_raster_window_mask_and_array(spark, tmp_path):
+    values = (np.arange(64 * 48).reshape(48, 64) % 7).astype("i2")
+    path = str(tmp_path / "p.tif")
+    raster.write_tiled(path, values, 16, (0.0, 480000.0), 10000.0, predictor=2)
+    h = raster.read_header(path)
+    got = {(r.px_col, r.px_row): r.value for r in raster.pixels(spark, path, (60, 40, 100, 100)).collect()}
+    assert got == {(c, r): values[r, c] for r in range(40, 48) for c in range(60, 64)}
+    assert len(h.tiles((0, 0, 17, 1))) == 2 and h.tiles((64, 0, 5, 5)) == [] and len(raster.window_ranges(h)) == 1
+    masked = d.aoo_grid(raster.raster_mask_extents(spark, path, 3, "three"))
+    assert masked.count() == int((values == 3).sum()) and masked.where("fraction < 1").count() == 0
+    same = d.aoo_grid(raster.array_extents(spark, "three", values == 3, h.origin, h.step))
+    assert same.exceptAll(masked).count() == 0 and same.count() == masked.count()
+    moved = d.aoo_grid(raster.array_extents(spark, "three", values[40:48, 60:64] == 3, h.origin, h.step, (60, 40)))
+    assert moved.join(masked, ["col", "row"], "left_anti").count() == 0 and moved.count() == int((values[40:48, 60:64] == 3).sum())
+
+
+def test_accessors(spark):
+    df = d.features(spark, [("a", [square(0, 0, 1)]), ("a", [square(0, 0, 1)]), ("b", [square(5, 5, 0.01)])])
+    extents, metrics = d.polygon_extents(df), d.distribution_metrics(df)
+    own = [(r.col, r.row) for r in d.cells(extents, "a").collect()]
+    assert own == sorted(own) and len(own) == 144 and d.cells(extents, "z").count() == 0
+    assert d.metric_of(metrics, "a", "aoo_cells") == 128 and d.metric_of(metrics, "z", "eoo_km2") == 0
+    assert d.overfull(extents).select("ecosystem").distinct().first().ecosystem == "a"
+    expected = spark.createDataFrame([("b", 55, 55), ("b", 56, 55)], "ecosystem string, col int, row int")
+    assert d.unexpected_cells(extents.where("ecosystem = 'b'"), expected).where("side = 'missing'").count() >= 1
+
+
+def test_strict_sums_do_not_depend_on_order(spark):
+    rng = np.random.default_rng(4)
+    rows = [("e", 0, 0, float(x)) for x in 10.0 ** rng.uniform(-3, 6, 2000)]
+    schema = "ecosystem string, col int, row int, extent_m2 double"
+    sums = {d.aoo_grid(spark.createDataFrame(some, schema).repartition(n), strict=True).first().extent_m2 for n, some in ((1, rows), (7, rows[::-1]), (3, sorted(rows, key=lambda r: r[3])))}
+    assert len(sums) == 1
+
+
+def test_shared_folder():
+    from types import SimpleNamespace as Some
+
+    from ecorisk.storage import shared_dir
+
+    def session(master, base):
+        conf = Some(get=lambda k, default=None: {"spark.master": master, "spark.checkpoint.dir": base}.get(k, default))
+        return Some(conf=Some(get=lambda k, default=None: base, set=lambda k, v: None), sparkContext=Some(getConf=lambda: conf))
+
+    assert shared_dir(session("spark://h:7077", "/shared")).startswith("file:///shared/ecorisk-")
+    assert shared_dir(session("local[2]", None)).startswith("file:///")
+    with pytest.raises(ValueError, match="share"):
+        shared_dir(session("local-cluster[2,1,1024]", None))
+
+
 def test_fold(spark, tmp_path):
     pairs = [("A", [square(0, 0, 1)]), ("A", [square(3, 0, 1)]), ("B", [square(5, 5, 1)])]
     for k, p in enumerate(pairs):
