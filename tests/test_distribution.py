@@ -157,7 +157,7 @@ def test_accessors(spark):
     extents, metrics = d.polygon_extents(df), d.distribution_metrics(df)
     own = [(r.col, r.row) for r in d.cells(extents, "a").collect()]
     assert own == sorted(own) and len(own) == 144 and d.cells(extents, "z").count() == 0
-    assert d.metric_of(metrics, "a", "aoo_cells") == 128 and d.metric_of(metrics, "z", "eoo_km2") == 0
+    assert d.metric_of(metrics, "a", "occupied_cell_count") == 144 and d.metric_of(metrics, "z", "eoo_km2") == 0
     assert d.overfull(extents).select("ecosystem").distinct().first().ecosystem == "a"
     expected = spark.createDataFrame([("b", 55, 55), ("b", 56, 55)], "ecosystem string, col int, row int")
     assert d.unexpected_cells(extents.where("ecosystem = 'b'"), expected).where("side = 'missing'").count() >= 1
