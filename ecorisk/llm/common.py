@@ -1,10 +1,8 @@
-"""What the training-data operators share: the shared folder, written tables, blocks and words."""
+"""What the training-data operators share: written tables, blocks, joins that stand hot keys, and words."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +10,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ecorisk.storage import materialize, shared_dir
+
+__all__ = ["materialize", "shared_dir"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Bytes of input that one block (a group worked on in memory by one Python task) should hold.
-BLOCK_BYTES = 12 << 20
+#: Bytes of text and rows that one block (a group worked on in memory by one Python task) should hold.
+BLOCK_BYTES = 16 << 20
+#: Ids that select rows are broadcast up to this number (some 50 MB); beyond it both sides are dealt out by id.
+BROADCAST_IDS = 1_000_000
+#: A key is hot if it has more than one of HOT of all rows: fewer than HOT keys can be.
+HOT = 1000
 #: Bytes of text that are split into words at a time, so that word lists stay small.
 SLICE_BYTES = 1 << 20
 
@@ -24,28 +29,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of a new folder below spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ecorisk-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and base.startswith("/"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/ecorisk-{uuid.uuid4().hex}"
+def blocks_for(docs: DataFrame, block_bytes: int = BLOCK_BYTES, row_bytes: int = 64) -> int:
+    """How many blocks the rows of docs (text, ...) are dealt into, so that a block fits in a task's memory at any size: by
+    the bytes of their texts, which are counted, and `row_bytes` for each row."""
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + row_bytes)).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / block_bytes))
+
+
+def _selected(rows: DataFrame, ids: DataFrame, keys: list[str], how: str) -> DataFrame:
+    named = materialize(ids.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct())
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(F.broadcast(named) if named.count() <= BROADCAST_IDS // len(keys) ** 2 else named, same, how)
+
+
+def among(rows: DataFrame, ids: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
+    """rows whose keys are among ids', null being a key like any other. Other rows stay where they are, unless ids are too
+    many to broadcast."""
+    return _selected(rows, ids, list(keys), "left_semi")
+
 
+def without(rows: DataFrame, ids: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
+    """rows whose keys are not among ids'."""
+    return _selected(rows, ids, list(keys), "left_anti")
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: lineage ends there and lost executors cost nothing."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def join_each(rows: DataFrame, per_key: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with per_key, a table with one row per key, `n` of which is about the number of rows that have the key.
 
-def blocks_for(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """How many blocks df's rows are dealt into: by its estimated bytes, so that a block fits in a task's memory at any size."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / block_bytes))
+    Hot keys, fewer than HOT whatever the data, are broadcast, so that none of them gathers in one task.
+    """
+    total = per_key.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = materialize(per_key.where(F.col(n) * HOT > total))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.where(F.col(n) * HOT <= total), key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecorisk.llm.common import as_rows, blocks_for, cut_by, flat_words, materialize, mix, odd_multipliers, rolling, table, texts_of
+from ecorisk.llm.common import among, as_rows, blocks_for, cut_by, flat_words, join_each, materialize, mix, odd_multipliers, rolling, table, texts_of, without
 from ecorisk.llm.components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -38,8 +38,6 @@ COORDINATES, MATCHES = 192, 114
 PREFIX = COORDINATES - MATCHES + 1
 #: Pairs of one document confirmed in one task; documents of one part of a list, and shingles of one part.
 PAIRS, PART_ROWS, PART_SHINGLES = 512, 2048, 1 << 20
-#: Ids that select rows of a table are broadcast up to this number (some 50 MB); beyond it both sides are dealt out by id.
-BROADCAST_IDS = 1_000_000
 SIGNED = "doc_id long, n_shingles long, digest binary, signature binary"
 _POSTED = np.dtype([("key", "<u8"), ("n", "<u4"), ("doc", "<i8")])
 
@@ -211,14 +209,8 @@ def postings(every: DataFrame, blocks: int) -> DataFrame:
     return by_block.cogroup(told.groupBy("block")).applyInArrow(choose, out)
 
 
-def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows whose doc_id is one of ids (doc_id): the others stay where they are, unless ids are too many to broadcast."""
-    ids = materialize(ids.select("doc_id").distinct())
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-
-
 def _signed(every: DataFrame, ids: DataFrame) -> DataFrame:
-    return _among(every.where("signature IS NOT NULL").select("doc_id", "signature"), ids)
+    return among(every.where("signature IS NOT NULL").select("doc_id", "signature"), ids)
 
 
 def matching(pairs: DataFrame, every: DataFrame) -> DataFrame:
@@ -237,7 +229,7 @@ def matching(pairs: DataFrame, every: DataFrame) -> DataFrame:
 
 def _texts(places: DataFrame, docs: DataFrame) -> DataFrame:
     """places (place, doc_id) with each document's text; of rows that repeat an id, one."""
-    texts = _among(docs.select("doc_id", "text"), places)
+    texts = among(docs.select("doc_id", "text"), places)
     return places.join(texts.groupBy("doc_id").agg(F.max("text").alias("text")), "doc_id")
 
 
@@ -361,7 +353,7 @@ def joined(meeting: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     every = materialize(sign(docs))
-    blocks = blocks_for(docs.select("doc_id", "text"))
+    blocks = blocks_for(docs, row_bytes=8 * COORDINATES)
     posted = materialize(postings(every, blocks))
 
     hubs = materialize(posted.where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct())
@@ -371,19 +363,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     meeting = materialize(across(posted, labels, every, blocks))
     links = links.union(joined(meeting, docs))
     # rows that repeat a doc_id with another text tie the sets they have
-    first = every.where("signature IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    own = every.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(first, "digest").select("doc_id", "n_shingles", "first_id")
+    full = every.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    first = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
+    own = materialize(join_each(full.select("doc_id", "n_shingles", "digest"), first, "digest", "copies").select("doc_id", "n_shingles", "first_id", "copies"))
     tied = own.groupBy("doc_id").agg(F.min("first_id").alias("a"), F.max("first_id").alias("b")).where("a < b").select("a", "b")
     labels = components(links.union(tied))
-    placed = own.join(labels.withColumnRenamed("node", "first_id"), "first_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "first_id").alias("component_id"))
+    sized = labels.join(first.groupBy("first_id").agg(F.max("copies").alias("copies")), labels["node"] == F.col("first_id"))
+    moved = materialize(sized.where("component <> first_id").select("first_id", F.col("component").alias("component_id"), "copies"))
+    tied_rows = join_each(among(own, moved, ("first_id",)).drop("copies"), moved, "first_id", "copies").select("doc_id", "n_shingles", "component_id")
+    others = without(own, moved, ("first_id",)).select("doc_id", "n_shingles", F.col("first_id").alias("component_id"))
     alone = every.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return tied_rows.union(others).union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with the first document of each component, all columns kept."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(docs.columns)
+    return without(docs, near_duplicates(docs).where("NOT kept"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
