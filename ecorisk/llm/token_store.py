@@ -1,12 +1,14 @@
 """Token-ID output: raw id payloads in shards, with a minimal perfect hash index from document keys to offsets.
 
 A shard is two files. `.ids` is nothing but ids, little-endian, 16 bits where the vocabulary fits, else 32. `.idx` is a
-JSON line with counts, then the documents' keys (64 bits, ascending, null ones first), their starts (64 bits, one more
-than documents), and the index: the bits of the hash's levels, and for each slot the document's number and a fingerprint
-of its key (32 bits each). A key's slot is found in constant time; the fingerprint tells absent keys.
+JSON line, filled up to HEAD bytes, that names the places of the parts after it: `keys` (64 bits, ascending, null ones
+first), `starts` (64 bits, one more than documents), the bits of the hash's levels with the number of set bits before each
+BLOCK of them, and `slots`: for each key the number of its first document, how many documents have it, and a fingerprint
+(32 bits each). A key's shard is found among the shards' first keys, its slot from a few bytes of each level, of which
+there are few; the fingerprint tells absent keys. So a key costs a constant number of short reads, whatever the shard holds.
 
 Documents stand in ascending doc_id order within and across shards. Null text is encoded as empty: the end id alone.
-Repeated keys keep a payload each, the index leads to the first. Null keys can be read in order but not by key. An empty
+Repeated keys keep a payload each, the index leads to all of them. Null keys can be read in order but not by key. An empty
 table gives no shards and an empty result. Extra columns are ignored.
 """
 
@@ -22,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from ecorisk.llm.common import blocks_for, materialize, mix, shared_dir, table, texts_of
-from ecorisk.llm.files import read_range, stream, written
+from ecorisk.llm.files import open_file, written
 from ecorisk.llm.tokens import encoder
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 #: Slots per key of a level of the hash: the more, the fewer levels.
 LOAD = 2.0
+#: Bytes of text that a shard should hold. Shards are written and read as streams, so that they can be large.
+SHARD_BYTES = 128 << 20
 
 
 def _seeded(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -67,66 +71,100 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_seeded(keys, 1 << 20) >> np.uint64(32)).astype("<u4")
 
 
+HEAD, BLOCK = 4096, 512
+_SLOT = np.dtype([("number", "<u4"), ("documents", "<u4"), ("print", "<u4")])
+
+
 def write_index(out, keys: list[int | None], starts: np.ndarray, width: int) -> None:
     nulls = sum(k is None for k in keys)
     ids = np.array([0 if k is None else k for k in keys], "<i8")
-    distinct, first = np.unique(ids[nulls:], return_index=True)
+    distinct, first, n = np.unique(ids[nulls:], return_index=True, return_counts=True)
     perfect = PerfectHash.build(distinct.astype(np.uint64))
-    slots = perfect.slots(distinct.astype(np.uint64))
-    number, print_ = np.zeros(len(distinct), "<u4"), np.zeros(len(distinct), "<u4")
-    number[slots], print_[slots] = first + nulls, fingerprints(distinct.astype(np.uint64))
-    head = {"documents": len(ids), "nulls": nulls, "keys": len(distinct), "width": width, "levels": [len(x) for x in perfect.levels]}
-    out.write(json.dumps(head).encode() + b"\n")
-    for part in (ids, starts.astype("<i8"), *[np.packbits(x) for x in perfect.levels], number, print_):
+    slots = np.zeros(len(distinct), _SLOT)
+    at = perfect.slots(distinct.astype(np.uint64))
+    slots["number"][at], slots["documents"][at], slots["print"][at] = first + nulls, n, fingerprints(distinct.astype(np.uint64))
+    parts = {"keys": ids, "starts": starts.astype("<i8"), "slots": slots}
+    for k, bits in enumerate(perfect.levels):
+        parts[f"rank{k}"] = (perfect.before[k] + np.concatenate([[0], np.cumsum(np.add.reduceat(bits, np.arange(0, len(bits), BLOCK)))[:-1]])).astype("<u4")
+        parts[f"bits{k}"] = np.packbits(bits)
+    places, end = {}, HEAD
+    for name, part in parts.items():
+        places[name] = [end, part.nbytes]
+        end += part.nbytes
+    head = json.dumps({"documents": len(ids), "nulls": nulls, "keys": len(distinct), "width": width, "levels": [len(x) for x in perfect.levels], "places": places}).encode()
+    if len(head) >= HEAD:
+        raise ValueError("the index has too many levels for its head")
+    out.write(head.ljust(HEAD - 1) + b"\n")
+    for part in parts.values():
         out.write(part.tobytes())
 
 
 class Shard:
-    """A shard opened for reading; `uri` is without the suffixes."""
+    """A shard opened for reading by short reads of the parts that a question needs; `uri` is without the suffixes."""
 
     def __init__(self, uri: str):
         self.uri = uri
-        with stream(uri + ".idx") as f:
-            raw = f.read()
-        line = raw.index(b"\n")
-        self.head = h = json.loads(raw[:line])
-        at = line + 1
-
-        def take(dtype: str, n: int) -> np.ndarray:
-            nonlocal at
-            x = np.frombuffer(raw, dtype, n, at)
-            at += x.nbytes
-            return x
-
-        self.keys, self.starts = take("<i8", h["documents"]), take("<i8", h["documents"] + 1)
-        self.perfect = PerfectHash([np.unpackbits(take("u1", -(-n // 8)), count=n).astype(bool) for n in h["levels"]])
-        self.number, self.print = take("<u4", h["keys"]), take("<u4", h["keys"])
-        self.dtype = f"<u{h['width']}"
-
-    def find(self, key: int) -> int | None:
-        """Number of the document with this key, None if there is none."""
+        self.index, self.payload = open_file(uri + ".idx"), open_file(uri + ".ids")
+        self.head = json.loads(self._read(self.index, 0, HEAD))
+        self.dtype = f"<u{self.head['width']}"
+
+    @staticmethod
+    def _read(file, at: int, n: int) -> bytes:
+        file.seek(at)
+        data = file.read(n)
+        if len(data) < n:
+            raise ValueError("the shard is cut off")
+        return data
+
+    def part(self, name: str, dtype, first: int = 0, n: int | None = None) -> np.ndarray:
+        """n values of a part from the first on, or all of them."""
+        at, size = self.head["places"][name]
+        width = np.dtype(dtype).itemsize
+        n = size // width - first if n is None else min(n, size // width - first)
+        return np.frombuffer(self._read(self.index, at + first * width, n * width), dtype)
+
+    def slot(self, key: int) -> int:
+        """Slot of a key, -1 where no level settles it: of each level looked at, one block of bits and its rank are read."""
         k = np.array([key], np.int64).astype(np.uint64)
-        slot = int(self.perfect.slots(k)[0])
-        return int(self.number[slot]) if slot >= 0 and self.print[slot] == fingerprints(k)[0] else None
-
-    def ids(self, number: int) -> np.ndarray:
-        a, b = (int(x) * self.head["width"] for x in self.starts[number : number + 2])
-        return np.frombuffer(read_range(self.uri + ".ids", a, b - a), self.dtype)
-
-    def get(self, key: int) -> np.ndarray | None:
-        number = self.find(key)
-        return None if number is None else self.ids(number)
-
-    def documents(self):
-        """(key, ids) in order, the payload read as a stream."""
-        with stream(self.uri + ".ids") as f:
-            for i, n in enumerate(np.diff(self.starts)):
-                ids = np.frombuffer(f.read(int(n) * self.head["width"]), self.dtype)
-                yield None if i < self.head["nulls"] else int(self.keys[i]), ids
+        for level, n in enumerate(self.head["levels"]):
+            at = int(_seeded(k, level)[0] % np.uint64(n))
+            bits = np.unpackbits(self.part(f"bits{level}", "u1", at // BLOCK * (BLOCK // 8), BLOCK // 8))
+            if bits[at % BLOCK]:
+                return int(self.part(f"rank{level}", "<u4", at // BLOCK, 1)[0]) + int(bits[: at % BLOCK].sum())
+        return -1
+
+    def find(self, key: int) -> tuple[int, int] | None:
+        """(number of the first document with this key, how many have it), None if there is none."""
+        slot = self.slot(key)
+        if slot < 0:
+            return None
+        number, documents, mark = self.part("slots", _SLOT, slot, 1)[0]
+        return (int(number), int(documents)) if mark == fingerprints(np.array([key], np.int64).astype(np.uint64))[0] else None
+
+    def find_all(self, keys: np.ndarray) -> np.ndarray:
+        """Entries (number, documents, print) of many keys, from the whole index read once; absent keys are left out."""
+        u = keys.astype(np.int64).astype(np.uint64)
+        perfect = PerfectHash([np.unpackbits(self.part(f"bits{k}", "u1"), count=n).astype(bool) for k, n in enumerate(self.head["levels"])])
+        at = perfect.slots(u)
+        entries = self.part("slots", _SLOT)[at[at >= 0]]
+        return entries[entries["print"] == fingerprints(u[at >= 0])]
+
+    def ids(self, number: int, documents: int = 1) -> list[np.ndarray]:
+        """The ids of consecutive documents, from one read."""
+        edges = self.part("starts", "<i8", number, documents + 1)
+        w = self.head["width"]
+        raw = self._read(self.payload, int(edges[0]) * w, int(edges[-1] - edges[0]) * w)
+        return np.split(np.frombuffer(raw, self.dtype), edges[1:-1] - edges[0])
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of each document with this key."""
+        found = self.find(key)
+        return self.ids(*found) if found else []
 
 
 def write(docs: DataFrame, path: str, end: int = END, folder: str | None = None) -> DataFrame:
-    """Writes all docs (doc_id, text) as shards; returns (shard, uri, documents, tokens), ordered as shard is."""
+    """Writes all docs (doc_id, text) as shards; returns (shard, uri, documents, nulls, first_key, tokens), where shards
+    are numbered in the order of their keys, no two of which have a key in common."""
     folder = folder or shared_dir(docs.sparkSession)
 
     def run(batches):
@@ -142,36 +180,85 @@ def write(docs: DataFrame, path: str, end: int = END, folder: str | None = None)
                     out.write(ids.astype(f"<u{width}").tobytes())
         with written(uri + ".idx") as out:
             write_index(out, keys, np.concatenate([[0], np.cumsum(lengths)]), width)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "documents": [len(keys)], "tokens": [int(sum(lengths))]})
+        nulls = sum(k is None for k in keys)
+        first = pa.array([keys[nulls] if nulls < len(keys) else None], pa.int64())
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "documents": [len(keys)], "nulls": [nulls], "first_key": first, "tokens": [int(sum(lengths))]})
+
+    rows = docs.select("doc_id", "text").repartitionByRange(blocks_for(docs, SHARD_BYTES), "doc_id").sortWithinPartitions("doc_id")
+    return materialize(rows.mapInArrow(run, "shard long, uri string, documents long, nulls long, first_key long, tokens long")).where("documents > 0")
+
+
+LOOKED_UP = "doc_id long, start long, n_tokens long, ids_crc32 long"
+#: Bytes of payload read at a time where documents that are asked for stand side by side.
+READ_BYTES = 8 << 20
+
+
+def _described(shard: Shard, base: int, numbers: np.ndarray):
+    """Batches of LOOKED_UP rows of the documents with these ascending numbers; side by side ones share a read."""
+    starts, keys, nulls = shard.part("starts", "<i8"), shard.part("keys", "<i8"), shard.head["nulls"]
+    first = 0
+    while first < len(numbers):
+        last = first + 1
+        while last < len(numbers) and numbers[last] == numbers[last - 1] + 1 and (starts[numbers[last] + 1] - starts[numbers[first]]) * shard.head["width"] <= READ_BYTES:
+            last += 1
+        some = numbers[first:last]
+        ids = shard.ids(int(some[0]), len(some))
+        crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+        docs = pa.array(keys[some], pa.int64(), mask=some < nulls)
+        yield pa.RecordBatch.from_arrays([docs, pa.array(base + starts[some]), pa.array([len(x) for x in ids], pa.int64()), pa.array(crcs, pa.int64())], names=[f.split()[0] for f in LOOKED_UP.split(", ")])
+        first = last
+
+
+def _manifest(shards: DataFrame) -> list[tuple]:
+    """(uri, first key, nulls, ids of all shards before it) in order: one small row for each shard of SHARD_BYTES."""
+    out, before = [], 0
+    for r in sorted(shards.collect(), key=lambda r: r["shard"]):
+        out.append((r["uri"], r["first_key"], r["nulls"], before))
+        before += r["tokens"]
+    return out
 
-    rows = docs.select("doc_id", "text").repartitionByRange(blocks_for(docs.select("doc_id", "text")), "doc_id").sortWithinPartitions("doc_id")
-    return materialize(rows.mapInArrow(run, "shard long, uri string, documents long, tokens long")).where("documents > 0")
 
+def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of the documents with the keys in `keys`
+    (doc_id), by way of each shard's hash. Keys go to the shard whose range they are in; those that it lacks give nothing."""
+    listed = [x for x in _manifest(shards) if x[1] is not None]
+    if not listed:
+        return keys.sparkSession.createDataFrame([], LOOKED_UP)
+    firsts = np.array([x[1] for x in listed], np.int64)
 
-def read(shards: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, from the files."""
-    spark = shards.sparkSession
-    listed, before = [], 0
-    for r in sorted(shards.collect(), key=lambda r: r["shard"]):  # one small row for each shard
-        listed.append((r["uri"], before))
-        before += r["tokens"]
+    def deal(batches):
+        for batch in batches:
+            at = np.searchsorted(firsts, batch.column("doc_id").to_numpy(zero_copy_only=False), "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(at)], ["doc_id", "place"]).filter(pa.array(at >= 0))
+
+    def answer(t: pa.Table) -> pa.Table:
+        uri, _, _, base = listed[t.column("place")[0].as_py()]
+        shard = Shard(uri)
+        found = shard.find_all(t.column("doc_id").to_numpy())
+        numbers = np.sort(np.repeat(found["number"].astype(np.int64) - (np.cumsum(found["documents"], dtype=np.int64) - found["documents"]), found["documents"]) + np.arange(int(found["documents"].sum())))
+        batches = list(_described(shard, base, numbers))
+        return pa.Table.from_batches(batches) if batches else pa.table([pa.array([], pa.int64())] * 4, names=[f.split()[0] for f in LOOKED_UP.split(", ")])
+
+    asked = keys.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    return asked.mapInArrow(deal, "doc_id long, place long").groupBy("place").applyInArrow(answer, LOOKED_UP)
+
+
+def unnamed(shards: DataFrame) -> DataFrame:
+    """The same of the documents without a key, which stand first."""
+    listed = [(uri, nulls, base) for uri, _, nulls, base in _manifest(shards) if nulls]
 
     def run(batches):
-        for batch in batches:
-            for uri, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rows = []
-                for key, ids in Shard(uri).documents():
-                    rows.append((key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for uri, nulls, base in (x for b in batches for x in zip(*[c.to_pylist() for c in b.columns], strict=True)):
+            yield from _described(Shard(uri), base, np.arange(nulls))
 
-    files = spark.createDataFrame(listed, "uri string, start long").repartition(max(1, len(listed)))
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = shards.sparkSession.createDataFrame(listed, "uri string, nulls long, base long").repartition(max(1, len(listed)))
+    return files.mapInArrow(run, LOOKED_UP)
 
 
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Encodes and writes all docs, then reads the files back."""
-    return read(write(docs, path or public_tokenizers.path(VOCABULARY)))
+    """Encodes and writes all docs, then looks every one of them up."""
+    shards = write(docs, path or public_tokenizers.path(VOCABULARY))
+    return lookup(shards, docs).unionByName(unnamed(shards))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
