@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecorisk.llm.common import as_rows, blocks_for, cut_by, flat_words, rolling, table, texts_of
+from ecorisk.llm.common import as_rows, blocks_for, cut_by, flat_words, join_each, materialize, rolling, table, texts_of
 
 WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 LAST_ID = (1 << 63) - 1
@@ -96,7 +96,7 @@ def deduped(docs: DataFrame) -> DataFrame:
     """Per distinct text: digest, first_id (its smallest doc_id), n_words, n_removed, kept (its kept words, UTF-8)."""
     given = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     given = given.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    blocks = blocks_for(docs.select("doc_id", "text"))
+    blocks = blocks_for(docs)
 
     def deal(batches):
         seen: dict[str, int] = {}
@@ -202,15 +202,20 @@ def substring_dedup(docs: DataFrame, kept: Column | None = None) -> DataFrame:
     kept, computed before rows are dealt out again."""
     value = (F.decode("kept", "UTF-8") if kept is None else kept).alias("kept_text")
     none = F.decode(F.lit(b""), "UTF-8") if kept is None else F.sha2(F.lit(b""), 256)
-    found = deduped(docs).select("digest", "first_id", "n_words", "n_removed", value)
-    ids = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
-    copy = (F.coalesce("doc_id", F.lit(LAST_ID)) != F.col("first_id")) & (F.col("n_words") >= WINDOW)
-    return ids.join(found, "digest").select(
-        "doc_id",
-        "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(copy, none).otherwise(F.col("kept_text")).alias("kept_text"),
-    )
+    found = materialize(deduped(docs).select("digest", "first_id", "n_words", "n_removed", value))
+    ids = materialize(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")))
+    sizes = ids.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    small = materialize(found.select("digest", "first_id", "n_words").join(sizes, "digest"))
+    # copies, of which one text may have any number, meet numbers only; its words meet its first document
+    rows = materialize(join_each(ids, small, "digest", "copies").withColumn("copy", (F.coalesce("doc_id", F.lit(LAST_ID)) != F.col("first_id")) & (F.col("n_words") >= WINDOW)))
+    copies = rows.where("copy").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), none.alias("kept_text"))
+    short = rows.where(f"NOT copy AND n_words < {WINDOW}").drop("n_words")
+    first = rows.where(f"NOT copy AND n_words >= {WINDOW}").drop("n_words")
+    shorts = found.where(f"n_words < {WINDOW}").drop("first_id").join(small.select("digest", "copies"), "digest")
+    out = copies
+    for some in (join_each(short.select("doc_id", "digest"), shorts, "digest", "copies"), first.select("doc_id", "digest").join(found, "digest")):
+        out = out.unionByName(some.select("doc_id", "n_words", "n_removed", "kept_text"))
+    return out
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
