@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecorisk.llm.common import materialize, shared_dir, table
+from ecorisk.llm.common import BROADCAST_IDS, HOT, materialize, shared_dir, table
 from ecorisk.llm.files import stream, written
 
 MIN_BYTES = 1000
@@ -35,9 +35,20 @@ def plan(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     sized = pages.select("page_id", "url", payload.alias("payload"))
     sized = sized.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     large = sized.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    copies = materialize(large.where("n > 1").drop("n"))
+    copies = materialize(large.where("n > 1"))
+    if copies.count() <= BROADCAST_IDS // 4:  # payloads stay where they are
+        known = sized.join(F.broadcast(copies.drop("n")), "payload_digest", "left")
+    else:
+        total = copies.agg(F.sum("n")).first()[0]
+        hot = copies.where(F.col("n") * HOT > total).select(F.col("payload_digest").alias("_hot"), F.col("last").alias("_hot_last"))
+        cold = copies.where(F.col("n") * HOT <= total).select(F.col("payload_digest").alias("_cold"), "last")
+        first = sized.join(F.broadcast(hot), F.col("payload_digest") == F.col("_hot"), "left")
+        # rows that need no second look get a key of their own, so that they don't gather anywhere
+        key = F.when(F.col("_hot").isNull() & (F.col("payload_bytes") >= min_bytes), F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+        known = first.withColumn("_key", key).join(cold, F.col("_key") == F.col("_cold"), "left").withColumn("last", F.coalesce("_hot_last", "last"))
+        known = known.select(*sized.columns, "last")
     copied = F.when((F.col("payload_bytes") >= min_bytes) & F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id")), F.col("last"))
-    return sized.join(copies, "payload_digest", "left").withColumn("refers_to", copied).drop("last")
+    return known.withColumn("refers_to", copied).drop("last")
 
 
 def chunks(planned: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -122,7 +133,12 @@ class _Unpacked:
 def records(source, chunk_bytes: int = CHUNK_BYTES):
     """(fields, chunk number, bytes, payload length so far, SHA-1 so far, last) of each chunk of each record in a stream."""
     f = _Unpacked(source)
-    while head := f.until(b"\r\n\r\n"):
+    while True:
+        head = f.until(b"\r\n\r\n")
+        if not head:
+            if f.have:
+                raise ValueError("the archive is cut off within a header")
+            return
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if x)
         left = int(fields["Content-Length"])
         if fields["WARC-Type"] == "response" and left:
@@ -145,13 +161,14 @@ READ = "page_id long, record_type string, refers_to long, chunk long, data binar
 
 
 def read(archives: DataFrame, with_data: bool = True) -> DataFrame:
-    """The record table of the archives listed in `archives` (uri): chunks with running lengths and digests.
+    """The record table of the archives listed in `archives` (uri, records): chunks with running lengths and digests.
 
     payload_bytes and payload_digest are those of the full payload: read for responses, as recorded for revisits; both
-    are set in a record's last chunk. A response whose bytes differ from what its header says is an error.
+    are set in a record's last chunk. A response whose bytes differ from what its header says is an error, and so
+    is an archive with more or fewer records than were written.
     """
     spark, names = archives.sparkSession, [x.split()[0] for x in READ.split(", ")]
-    listed = [(r["uri"],) for r in archives.select("uri").collect()]  # one short row for each archive
+    listed = [(r["uri"], r["records"]) for r in archives.select("uri", "records").collect()]  # one short row for each archive
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
 
     def page(text):
@@ -159,8 +176,8 @@ def read(archives: DataFrame, with_data: bool = True) -> DataFrame:
         return None if own in (None, "null") else int(own)
 
     def run(batches):
-        for uri in (u for b in batches for u in b.column("uri").to_pylist()):
-            rows, held = [], 0
+        for uri, count in (x for b in batches for x in zip(b.column("uri").to_pylist(), b.column("records").to_pylist(), strict=True)):
+            rows, held, ended = [], 0, 0
             with stream(uri) as source:
                 for fields, k, data, seen, digest, last in records(source):
                     revisit = fields["WARC-Type"] == "revisit"
@@ -170,13 +187,16 @@ def read(archives: DataFrame, with_data: bool = True) -> DataFrame:
                         raise ValueError(f"{fields['WARC-Record-ID']} in {uri} isn't what its header says")
                     rows.append((page(fields["WARC-Record-ID"]), fields["WARC-Type"], page(fields.get("WARC-Refers-To")), k, data if with_data else None, seen, digest.hexdigest(), last, *full))
                     held += len(data) if with_data else 200
+                    ended += last
                     if held > CHUNK_BYTES * 4:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                         rows, held = [], 0
+            if ended != count:
+                raise ValueError(f"{uri} has {ended} records, not {count}")
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return spark.createDataFrame(listed, "uri string").repartition(max(1, len(listed))).mapInArrow(run, READ)
+    return spark.createDataFrame(listed, "uri string, records long").repartition(max(1, len(listed))).mapInArrow(run, READ)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
