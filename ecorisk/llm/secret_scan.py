@@ -1,7 +1,8 @@
 """Secret scans: candidate credentials with positions, told apart by how many owners in the corpus share them.
 
 Candidate hashes are aggregated over the whole corpus by distinct repositories and owners: a value that many owners have
-is a widely copied example, one that only few have looks live. Only DataFrame operations run.
+is a widely copied example, one that only few have looks live, in however many repositories these keep it. A document is
+a repository, its source the owner, unless other columns are named. Only DataFrame operations run.
 
 Base kinds (assign, access, hex) are always reported. The added kind, `owned`, is a long run of key characters with
 letters and digits beside them that overlaps no base span and is specific to its owner. Positions are code points, end
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ecorisk.llm.common import materialize, table
+from ecorisk.llm.common import join_each, materialize, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -50,7 +51,7 @@ def _matches(text: Column, k: int) -> Column:
     return F.when(text.rlike(pattern), F.filter(found, lambda m: m["length"].isNotNull()))
 
 
-def candidates(docs: DataFrame, repository: str = "source", owner: str = "source") -> DataFrame:
+def candidates(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """One row per row of docs: row, doc_id, repository, owner and the matches of all kinds, from one pass over the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<kind:int,gap:int,length:int,valid:boolean,credential:bigint>>")
@@ -69,18 +70,23 @@ def located(found: DataFrame) -> DataFrame:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(credential, repositories, owners): distinct ones over the corpus, nulls counting as one."""
-    some = F.coalesce(F.col("v").cast("string"), F.lit("\0"))
-    both = spans.select("credential", F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("repository").cast("string").alias("v")), F.struct(F.lit(1).alias("w"), F.col("owner").cast("string").alias("v")))).alias("x"))
-    pairs = both.select("credential", "x.w", F.col("x.v").alias("v")).select("credential", "w", some.alias("v")).distinct()
-    return pairs.groupBy("credential").agg(F.count_if(F.col("w") == 0).alias("repositories"), F.count_if(F.col("w") == 1).alias("owners"))
+    """(credential, repositories, owners, n): distinct ones over the corpus, nulls counting as one, and the number of spans.
+
+    Spans are counted per credential, owner and repository first, then per owner, then over all, each time before rows are
+    dealt out, so that a credential that is everywhere is a few rows of each task.
+    """
+    each = spans.groupBy("credential", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
+    names = F.struct(F.col("repository").cast("string").alias("v"))
+    repositories = each.groupBy("credential", names.alias("r")).agg(F.sum("n").alias("n")).groupBy("credential").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
+    owners = each.select("credential", F.struct(F.col("owner").cast("string").alias("v")).alias("o")).distinct().groupBy("credential").agg(F.count(F.lit(1)).alias("owners"))
+    return repositories.join(owners, "credential").select("credential", "repositories", "owners", "n")
 
 
-def secret_spans(docs: DataFrame, repository: str = "source", owner: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def secret_spans(docs: DataFrame, repository: str = "doc_id", owner: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """One row per row of docs: doc_id and its spans, each with kind, start, end, repositories, owners, widely_copied."""
     found = materialize(candidates(docs, repository, owner))
     spans = materialize(located(found))
-    known = spans.join(ownership(spans), "credential")
+    known = join_each(spans, materialize(ownership(spans)), "credential", "n")
     span = F.struct("start", "kind", "end", "repositories", "owners", (F.col("owners") >= copied_owners).alias("widely_copied"))
     by_row = known.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("all"))
     base = F.filter("all", lambda s: s["kind"] < BASE)
@@ -100,7 +106,7 @@ def _named(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])))
 
 
-def secret_scan(docs: DataFrame, repository: str = "source", owner: str = "source") -> DataFrame:
+def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
     """One row per document: doc_id, counts by base kind, base_sha256, spans, and how many of them are copied or owned."""
     base = F.filter("spans", lambda s: s["kind"] < BASE)
 
