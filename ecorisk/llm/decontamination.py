@@ -4,7 +4,8 @@ Each mask picks six of eight consecutive words and ignores the others. A window
 SUBSTITUTIONS differ from a benchmark item's, wherever they are, holds the words of one of the masks unchanged at some
 offset. Hashes of the masked words of documents and items are joined, and around each hit the words on both sides are
 compared: a document is contaminated by an item if a window that holds the hit differs in at most SUBSTITUTIONS words. Of
-items of 8 to 12 words the whole text must be found unchanged; shorter ones are no evidence and are left out.
+items of 8 to 12 words the whole text must be found unchanged. An item of fewer words is no evidence within a longer
+text; it contaminates the documents that are that text and nothing else.
 
 Words are runs of letters and digits, lower-cased, so that punctuation and layout don't matter. Only DataFrame operations
 run. Null texts have no words. Repeated rows of a doc_id count as one document, rows with a null doc_id too; items
@@ -16,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecorisk.llm.common import materialize, table
+from ecorisk.llm.common import among, materialize, table, without
 
 MASKS, SPAN = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7)), 8
 WINDOW, SUBSTITUTIONS = 13, 2
-#: Seeds are broadcast up to this number (24 bytes each); beyond it both sides are dealt out by seed.
+#: Texts of fewer than SPAN words; a longer text is left after its first words.
+FEW = rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{1,{SPAN - 1}}}+[^\p{{L}}\p{{N}}]*+$"
+#: Seeds (four numbers, some 64 bytes in memory) are broadcast up to this number; beyond it both sides are dealt out by seed.
 BROADCAST_SEEDS = 500_000
 
 
@@ -43,18 +46,31 @@ def _around(w: Column, at: Column, n: Column) -> tuple[Column, Column]:
     return F.slice(w, at - before + 1, F.least(n - at + before, before + WINDOW)), before
 
 
-def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """(seed, item_id, item_n, item_at, item_words around it, item_before), once for each distinct place."""
-    items = benchmark.where("text IS NOT NULL").select("item_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    around, before = _around(F.col("w"), F.col("at"), F.col("n"))
-    return _seeds(items).select("seed", "item_id", F.col("n").alias("item_n"), F.col("at").alias("item_at"), around.alias("item_words"), before.alias("item_before")).distinct()
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, w, n) of each distinct item text."""
+    return benchmark.where("text IS NOT NULL").select("item_id", words(F.col("text")).alias("w")).distinct().withColumn("n", F.size("w"))
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(seed, item, item_at) of items (item, w, n): each place of each of them."""
+    return _seeds(items).select("seed", "item", F.col("at").alias("item_at"))
+
+
+def _whole(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_places, matched) of documents that are one of the items (item_id, w, n) and nothing else."""
+    texts = docs.where(F.lower("text").rlike(FEW)).select("doc_id", words(F.col("text")).alias("w")).withColumn("whole", F.xxhash64("w"))
+    named = items.select("item_id", F.xxhash64("w").alias("whole"), F.col("w").alias("item_w"))
+    same = texts.join(named, "whole").where(F.col("w") == F.col("item_w"))
+    return same.select("doc_id", "item_id", F.lit(1).cast("long").alias("n_places"), F.size("w").cast("long").alias("matched")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, n_places (alignments), matched (most equal words of a window)."""
-    items = materialize(item_seeds(benchmark))
-    if items.count() <= BROADCAST_SEEDS:
-        items = F.broadcast(items)
+    # a number of its own for each item text, as item ids can repeat
+    items = materialize(_items(benchmark).withColumn("item", F.monotonically_increasing_id()))
+    seeds_ = materialize(item_seeds(items))
+    if seeds_.count() <= BROADCAST_SEEDS:
+        seeds_ = F.broadcast(seeds_)
     texts = docs.where("text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
 
     def seeds(i: Column) -> Column:
@@ -62,10 +78,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # rows of seeds carry no words: a long text's words beside each of its places would be the square of its length
     placed = texts.where(F.col("n") >= SPAN).select("doc_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - SPAN), seeds))).alias("s"))
-    hits = materialize(placed.select("doc_id", "s.at", "s.seed").join(items, "seed").drop("seed").distinct())
-    there = hits.select(F.col("doc_id").alias("hit_id")).distinct()
-    some = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("own_id"), "text")
-    some = some.join(there, F.col("own_id").eqNullSafe(F.col("hit_id")), "left_semi").select("own_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    hits = materialize(placed.select("doc_id", "s.at", "s.seed").join(seeds_, "seed").drop("seed").distinct())
+    some = among(docs.where("text IS NOT NULL").select("doc_id", "text"), hits).select(F.col("doc_id").alias("own_id"), words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    item_around, item_before = _around(F.col("w"), F.col("item_at"), F.col("n"))
+    hits = hits.join(items.select("item", "item_id", "w", "n"), "item")
+    hits = hits.select("doc_id", "at", "item_id", F.col("n").alias("item_n"), "item_at", item_around.alias("item_words"), item_before.alias("item_before"))
     around, before = _around(F.col("w"), F.col("at"), F.col("n"))
     hits = hits.join(some, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("at") + SPAN <= F.col("n")))
     hits = hits.select("doc_id", "item_id", "item_n", "at", "item_at", "item_words", "item_before", around.alias("doc_words"), before.alias("doc_before"))
@@ -86,13 +103,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     least = F.when(F.col("item_n") >= WINDOW, WINDOW - SUBSTITUTIONS).otherwise(F.col("item_n"))
     found = hits.select("doc_id", "item_id", "shift", best.alias("matched"), least.alias("least")).where("matched >= least")
     places = found.groupBy("doc_id", "item_id", "shift").agg(F.max("matched").alias("matched"))
-    return places.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_places"), F.max("matched").cast("long").alias("matched"))
+    near = places.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_places"), F.max("matched").cast("long").alias("matched"))
+    short = items.where((F.col("n") > 0) & (F.col("n") < SPAN))
+    return near.unionByName(_whole(docs, short)) if short.limit(1).count() else near
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones, all columns kept."""
-    leaked = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti").select(docs.columns)
+    return without(docs, contaminated(docs, benchmark))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
