@@ -7,7 +7,8 @@ and rises whenever a window exceeds its capacity. Nothing is shuffled, and memor
 
 Null text counts as empty (one end id). Repeated rows are packed as documents of their own. An empty table gives an empty
 result, extra columns are ignored, equal lengths are taken in the order read. Numbers of sequences are unique but not
-dense: (partition, running number). The result depends on how the input is split, so it is written once, not recomputed.
+dense: (partition, running number). How documents fall together depends on how the input is split into tasks: each run is a
+valid packing, and a caller that reads the result more than once writes it first, as the pipeline does.
 """
 
 from __future__ import annotations
