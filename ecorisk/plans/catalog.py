@@ -449,6 +449,20 @@ def odd_features(spark, sf_dir):
     return extents.groupBy("ecosystem").agg(F.round(F.sum("extent_m2") / 1e6, 3).alias("km2"))
 
 
+def many_vertices(spark, sf_dir):
+    """Customers as polygons of 40 vertices, a tenth of a degree and more across: area by ecosystem."""
+
+    def run(batches):
+        turn = np.arange(40) * (np.pi / 20)
+        for b in batches:
+            rows = zip(*[b.column(c).to_pylist() for c in ("id", "lon", "lat")], strict=True)
+            rings = [np.stack([x + (1 + k % 5) * 0.05 * np.cos(turn), y + (1 + k % 5) * 0.05 * np.sin(turn)], axis=1) for k, x, y in rows]
+            yield pa.RecordBatch.from_arrays([b.column("ecosystem"), pa.array([write_wkb([[r]]) for r in rings], pa.binary())], ["ecosystem", "geometry"])
+
+    polygons = footprints(spark, sf_dir).mapInArrow(run, "ecosystem string, geometry binary")
+    return distribution.polygon_extents(polygons).groupBy("ecosystem").agg(F.round(F.sum("extent_m2") / 1e6, 2).alias("km2"))
+
+
 def projected_rings(spark, sf_dir):
     """Rings of degrees projected vertex by vertex, and their bounding boxes."""
     ring = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
@@ -563,7 +577,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         geoparquet_scan, geoparquet_ecosystem_filter, geoparquet_bbox_filter, geoparquet_datasets_folded, geoparquet_inspect, geoparquet_read_plan, geoparquet_read_report, geoparquet_structure,
-        odd_features, projected_rings, cells_in_order, overfull_cells, unexpected_cells, strict_extents, metrics_summary, raster_scan, raster_window, raster_classes, raster_mask, raster_array,
+        odd_features, many_vertices, projected_rings, cells_in_order, overfull_cells, unexpected_cells, strict_extents, metrics_summary, raster_scan, raster_window, raster_classes, raster_mask, raster_array,
         thresholds_metadata, criterion_b_results, criterion_b_document, criterion_b_cases,
         distribution_to_category, project_points, project_points_sql_function, cell_assign, occupied_cells, aoo_one_percent, polygon_hole_extent,
         wkb_roundtrip, eoo_hull, raster_aoo, category_dim, criterion_dim, thresholds_table, classify_b1, classify_b2, classify_estimate, gate_levels,
@@ -669,6 +683,10 @@ SELECT note, count(*) AS n FROM said WHERE note IS NOT NULL GROUP BY 1""",
     "geoparquet_structure": "SELECT * FROM (VALUES ('note', 'no CRS is stated, which means OGC:CRS84'), ('column', 'ecosystem BYTE_ARRAY'), ('column', 'geometry BYTE_ARRAY'), ('column', 'bbox.xmin DOUBLE'), ('column', 'bbox.ymin DOUBLE'), ('column', 'bbox.xmax DOUBLE'), ('column', 'bbox.ymax DOUBLE')) AS t(severity, message)",
     "odd_features": f"""WITH {_PLACES}, two AS (SELECT CASE WHEN id % 7 = 0 THEN '' ELSE ecosystem END AS ecosystem, id, x0, x1, y0 + up AS y0, y1 + up AS y1 FROM places CROSS JOIN (VALUES (0e0), (1e0)) AS u(up) WHERE id % 5 <> 0)
 SELECT ecosystem, round(sum({AXIS!r}e0 * radians(x1 - x0) * ({_north("y1")} - {_north("y0")})) / 1e6, 3) AS km2 FROM two GROUP BY 1""",
+    "many_vertices": f"""WITH {FOOTPRINTS}, v AS (SELECT ecosystem, id, i, lon + (1 + id % 5) * 0.05e0 * cos(i * pi() / 20e0) AS lon, lat + (1 + id % 5) * 0.05e0 * sin(i * pi() / 20e0) AS lat FROM fp CROSS JOIN (SELECT unnest(generate_series(0, 40)) AS i)),
+m AS (SELECT ecosystem, id, i, {AXIS!r}e0 * radians(lon) AS x, {_north("lat")} AS y FROM v),
+e AS (SELECT ecosystem, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM m WINDOW w AS (PARTITION BY id ORDER BY i))
+SELECT ecosystem, round(sum((nx - x) * -(ny + y) / 2e0) / 1e6, 2) AS km2 FROM e WHERE nx IS NOT NULL GROUP BY 1""",
     "projected_rings": f"WITH {_PLACES} SELECT id, round(x0, 3) AS x0, round(y0, 3) AS y0, round(x1, 3) AS x1, round(y1, 3) AS y1 FROM ({_METRES})",
     "cells_in_order": f"""WITH {RECTANGLES}, {cells_sql("r")} SELECT col, "row", round(extent_m2 / 1e8, 7) AS fraction FROM grid WHERE ecosystem = 'Brand#22' ORDER BY 1, 2""",
     "overfull_cells": f"""WITH {RECTANGLES}, {cells_sql("r")} SELECT ecosystem, col, "row" FROM grid WHERE overfull""",
