@@ -155,3 +155,19 @@ def cut_by(keys: np.ndarray, n: int, bits: int = 64) -> list[tuple[int, int, int
     bucket = (keys // width).astype(np.int64)
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
     return [(int(bucket[i]), int(i), int(j)) for i, j in zip(at, [*at[1:], len(keys)], strict=True)] if len(keys) else []
+
+
+_KEPT: dict = {}
+
+
+def worker_cache(key, make):
+    """What `make` gives, kept by this Python worker until it needs something else: one thing at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Gives up what this worker keeps, before work that needs its memory."""
+    _KEPT.clear()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecorisk.llm.common import among, as_rows, blocks_for, cut_by, flat_words, join_each, materialize, mix, odd_multipliers, rolling, table, texts_of, without
+from ecorisk.llm.common import among, as_rows, blocks_for, cut_by, flat_words, join_each, materialize, mix, odd_multipliers, release, rolling, table, texts_of, without
 from ecorisk.llm.components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -70,6 +70,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        release()
         given: dict[bytes, int] = {}
         for batch in batches:
             texts, ids = texts_of(batch.column("text"), as_bytes=True), batch.column("doc_id").to_pylist()

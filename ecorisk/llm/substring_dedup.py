@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecorisk.llm.common import as_rows, blocks_for, cut_by, flat_words, join_each, materialize, rolling, table, texts_of
+from ecorisk.llm.common import as_rows, blocks_for, cut_by, flat_words, join_each, materialize, release, rolling, table, texts_of
 
 WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 LAST_ID = (1 << 63) - 1
@@ -99,6 +99,7 @@ def deduped(docs: DataFrame) -> DataFrame:
     blocks = blocks_for(docs)
 
     def deal(batches):
+        release()
         seen: dict[str, int] = {}
         for batch in batches:
             ids, digests, kept = batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), []

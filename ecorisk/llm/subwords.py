@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from ecorisk.llm.common import mix, odd_multipliers, slices
+from ecorisk.llm.common import mix, odd_multipliers, slices, worker_cache
 
 #: Words remembered per Python worker; beyond it the memory is emptied and filled anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def ngram_features(words: list[str], orders: range, buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +84,6 @@ class WordTable(dict):
         return out, counts
 
 
-_TABLES: dict[str, WordTable] = {}
-
-
 def word_table(key: str, score, width: int) -> WordTable:
-    """This worker's table for the model `key`; one model's table is kept at a time."""
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = WordTable(score, width)
-    return _TABLES[key]
+    """This worker's table for the model `key`."""
+    return worker_cache(("words", key), lambda: WordTable(score, width))

@@ -12,7 +12,7 @@ from itertools import chain
 
 import numpy as np
 
-from ecorisk.llm.common import slices
+from ecorisk.llm.common import slices, worker_cache
 
 #: Pieces remembered per worker; beyond it the memory is emptied and filled anew.
 CACHE_PIECES = 1_500_000
@@ -126,12 +126,6 @@ class Encoder(dict):
                 yield np.append(own, np.uint32(end))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, rule: str) -> Encoder:
     """This worker's encoder."""
-    if (path, rule) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, rule] = Encoder(path, rule)
-    return _ENCODERS[path, rule]
+    return worker_cache(("tokens", path, rule), lambda: Encoder(path, rule))
