@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -169,5 +170,9 @@ def worker_cache(key, make):
 
 
 def release() -> None:
-    """Gives up what this worker keeps, before work that needs its memory."""
+    """Gives what this worker keeps, and memory that its allocators hold on to, back to the machine."""
     _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
