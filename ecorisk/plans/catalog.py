@@ -331,6 +331,13 @@ def geojson_scan(spark, sf_dir):
     return geojson.parse(texts).select("ecosystem", F.size(ring_).cast("long").alias("n_vertices"), ring_[0][0].alias("west"), ring_[0][1].alias("south"), ring_[2][0].alias("east"), ring_[2][1].alias("north"))
 
 
+def geojson_files(spark, sf_dir):
+    """Customers' boxes written as GeoJSON files and streamed back."""
+    path = f"{shared_dir(spark)}/geojson"
+    geojson.write(features_of(_places(spark, sf_dir)), path)
+    return _corners(geojson.read(spark, path))
+
+
 def top_ecosystems(spark, sf_dir):
     """The report's first 15 lines."""
     out = distribution.one_percent(distribution.aoo_grid(distribution.rectangle_extents(rectangles(spark, sf_dir))))
@@ -581,7 +588,7 @@ QUERIES = {
         thresholds_metadata, criterion_b_results, criterion_b_document, criterion_b_cases,
         distribution_to_category, project_points, project_points_sql_function, cell_assign, occupied_cells, aoo_one_percent, polygon_hole_extent,
         wkb_roundtrip, eoo_hull, raster_aoo, category_dim, criterion_dim, thresholds_table, classify_b1, classify_b2, classify_estimate, gate_levels,
-        criterion_b, note_sentences, polygon_metrics, ecosystem_filter, bbox_filter, geojson_scan, top_ecosystems, ecosystems_listed, multi_dataset_union, byte_ranges_merged,
+        criterion_b, note_sentences, polygon_metrics, ecosystem_filter, bbox_filter, geojson_scan, geojson_files, top_ecosystems, ecosystems_listed, multi_dataset_union, byte_ranges_merged,
     )
 }
 
@@ -674,6 +681,7 @@ UNION ALL SELECT CASE WHEN b3 = 7 OR (b3 = 3 AND b3_least = 5) THEN 'B3 requires
 UNION ALL SELECT CASE WHEN b3 < 6 AND kind = 'count' AND n <= 4 THEN {_near_sql(4)} END FROM overall)
 SELECT note, count(*) AS n FROM said WHERE note IS NOT NULL GROUP BY 1""",
     "geoparquet_scan": f"WITH {_PLACES} {_CORNERS}",
+    "geojson_files": f"WITH {_PLACES} {_CORNERS}",
     "geoparquet_ecosystem_filter": f"WITH {_PLACES} {_CORNERS} WHERE ecosystem IN {_SOME}",
     "geoparquet_bbox_filter": f"WITH {_PLACES} {_CORNERS} WHERE x0 <= {BOX[2]!r} AND x1 >= {BOX[0]!r} AND y0 <= {BOX[3]!r} AND y1 >= {BOX[1]!r}",
     "geoparquet_datasets_folded": f"WITH {_PLACES}, m AS ({_METRES}), {cells_sql('m')} SELECT ecosystem, aoo_cells, occupied_cell_count, overfull_cells FROM aoo",

@@ -117,6 +117,28 @@ def test_geojson(spark, tmp_path):
     assert out["A"].occupied_cell_count == 144 and out["B"].eoo_km2 > 3 * out["A"].eoo_km2 * 0.99
 
 
+def test_geojson_is_streamed(spark, tmp_path):
+    doc = {"name": 'a "features": [ in a text', "n": 12, "features": [{"properties": {"ECO_CODE": f"E{k}"}, "geometry": {"type": "Polygon", "coordinates": [square(k, 0, 1) * (1 + 30 * (k % 3))]}} for k in range(25)], "more": None}
+    text = json.dumps(doc, indent=1)
+    for size in (1, 7, 1000, len(text)):
+        got = list(geojson._features(iter([text[k : k + size] for k in range(0, len(text), size)])))
+        assert got == doc["features"]
+    for bad in ("", "[", '{"a": 1}', '{"features": [{"a": 1}', '{"features": 3}', '{"features": [{"a" 1}]}'):
+        with pytest.raises(ValueError):
+            list(geojson._features(iter([bad])))
+    assert list(geojson._features(iter(['{"features": []}']))) == []
+    for feature, said in (({"properties": {}}, "property"), ({"properties": {"c": "x"}, "geometry": {"type": "Point"}}, "no area"), ({"properties": {"c": "x"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0, 1]]]}}, "two numbers")):
+        with pytest.raises(ValueError, match=said):
+            geojson._polygons(feature, "c")
+    path = str(tmp_path / "out")
+    features = d.features(spark, [("A", [square(0, 0, 1)]), ("B", [square(5, 5, 1), square(5.2, 5.2, 0.1)])])
+    geojson.write(features.repartition(2), path)
+    same = geojson.read(spark, path)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, features.collect()))
+    with pytest.raises(FileNotFoundError):
+        geojson.read(spark, str(tmp_path / "nowhere"))
+
+
 def test_raster(spark, tmp_path):
     y, x = np.mgrid[0:512, 0:512]
     values = (x // 64 + 8 * (y // 64)).astype("u1")
