@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ecorisk.llm import decontamination, exact_dedup, language_id, near_dedup, packing, secret_scan, substring_dedup, token_store, toxicity, warc
-from ecorisk.llm.sql import NEAR_SQL, SUBSTRING_SQL
+from ecorisk.llm.sql import LEAKS_SQL, NEAR_SQL, SECRETS_SQL, SUBSTRING_SQL
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -20,6 +20,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_minhash_near_dedup": NEAR_SQL,
     "op3_warc": warc.OP3_SQL,
+    "op4_secret_scan": SECRETS_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_substring_dedup": SUBSTRING_SQL,
+    "op9_benchmark_decontamination": LEAKS_SQL,
 }
