@@ -125,18 +125,56 @@ def structure(meta: pq.FileMetaData) -> list[tuple[str, str]]:
     return sorted(out, key=lambda x: SEVERITIES.index(x[0]))
 
 
+# What the published layout allows in a geometry column's description.
+GEOMETRIES = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection")
+ENCODINGS = {"1.0.0": ("WKB",), "1.1.0": ("WKB", "point", "linestring", "polygon", "multipoint", "multilinestring", "multipolygon")}
+
+
+def _faults(column: dict, version: str):
+    """What is wrong with a geometry column's description, by the layout of its version."""
+    if not isinstance(column, dict):
+        yield "is no object"
+        return
+    if column.get("encoding") not in ENCODINGS[version]:
+        yield f"`encoding` is {column.get('encoding')!r}, not one of {', '.join(ENCODINGS[version])}"
+    kinds = column.get("geometry_types")
+    if not isinstance(kinds, list):
+        yield "`geometry_types` is missing or no list"
+    else:
+        yield from (f"`geometry_types` holds {k!r}" for k in kinds if not isinstance(k, str) or k.removesuffix(" Z") not in GEOMETRIES)
+        if len(set(map(str, kinds))) < len(kinds):
+            yield "`geometry_types` repeats a type"
+    crs = column.get("crs")
+    if crs is not None and not (isinstance(crs, dict) and "type" in crs):
+        yield "`crs` is no PROJJSON object"
+    for key, allowed in (("edges", ("planar", "spherical")), ("orientation", ("counterclockwise",))):
+        if key in column and column[key] not in allowed:
+            yield f"`{key}` is {column[key]!r}, not {' or '.join(allowed)}"
+    box, number = column.get("bbox"), lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    if "bbox" in column and not (isinstance(box, list) and len(box) in (4, 6) and all(map(number, box))):
+        yield "`bbox` is not four or six numbers"
+    if "epoch" in column and not number(column["epoch"]):
+        yield "`epoch` is no number"
+    if "covering" in column:
+        own = (column["covering"] or {}).get("bbox") if isinstance(column["covering"], dict) else None
+        paths = [own.get(k) for k in ("xmin", "ymin", "xmax", "ymax")] if isinstance(own, dict) else [None]
+        if not all(isinstance(p, list) and len(p) == 2 and all(isinstance(x, str) for x in p) for p in paths):
+            yield "`covering.bbox` doesn't name four paths of two parts"
+
+
 def schema_findings(meta: pq.FileMetaData) -> list[tuple[str, str]]:
-    """(severity, message) of the `geo` document against the published layout of its version."""
+    """(severity, message) of the `geo` document against the published layout of its version; an unknown version is read by
+    the newest one."""
     doc, out = json.loads((meta.metadata or {})[b"geo"]), []
-    if doc.get("version") not in ("1.0.0", "1.1.0"):
-        out.append(("warning", f"version {doc.get('version')!r} has no known layout"))
-    for name, column in doc.get("columns", {}).items():
-        for key, kind in (("encoding", str), ("geometry_types", list)):
-            if not isinstance(column.get(key), kind):
-                out.append(("error", f"column `{name}`: `{key}` is missing or not a {kind.__name__}"))
-        if column.get("crs") is not None and not (isinstance(column["crs"], dict) and "type" in column["crs"]):
-            out.append(("error", f"column `{name}`: `crs` is no PROJJSON object"))
-    return out
+    version = doc.get("version")
+    if version not in ENCODINGS:
+        out.append(("warning", f"version {version!r} has no known layout"))
+        version = max(ENCODINGS)
+    if not isinstance(doc.get("primary_column"), str) or not doc["primary_column"]:
+        out.append(("error", "`primary_column` is missing or no text"))
+    if not isinstance(doc.get("columns"), dict) or not doc["columns"]:
+        return [*out, ("error", "`columns` describes no column")]
+    return out + [("error", f"column `{name}`: {fault}") for name, column in doc["columns"].items() for fault in _faults(column, version)]
 
 
 def check_structure(spark: SparkSession, path: str) -> DataFrame:

@@ -110,6 +110,26 @@ def test_geoparquet(spark, tmp_path):
     assert "data.source.coop" in geoparquet.failure_hint("https://source.coop/x")
 
 
+def test_geo_layout(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    good = {"version": "1.1.0", "primary_column": "g", "columns": {"g": {"encoding": "WKB", "geometry_types": ["Polygon", "Polygon Z"], "edges": "planar", "bbox": [0, 0, 1, 1], "epoch": 2020.5, "covering": {"bbox": {k: ["b", k] for k in ("xmin", "ymin", "xmax", "ymax")}}}}}
+
+    def found(**changes):
+        doc = json.loads(json.dumps(good))
+        doc["columns"]["g"] |= changes.pop("g", {})
+        doc |= changes
+        pq.write_table(pa.table({"g": [b""]}).replace_schema_metadata({"geo": json.dumps(doc)}), str(tmp_path / "x.parquet"))
+        return [m for _, m in geoparquet.schema_findings(pq.read_metadata(str(tmp_path / "x.parquet")))]
+
+    assert found() == []
+    assert found(version="9.9") == ["version '9.9' has no known layout"]
+    for g, said in (({"encoding": "point"}, None), ({"encoding": "WKT"}, "encoding"), ({"geometry_types": ["Blob"]}, "Blob"), ({"geometry_types": None}, "no list"), ({"edges": "round"}, "edges"), ({"bbox": [1, 2]}, "bbox"), ({"epoch": "now"}, "epoch"), ({"covering": {"bbox": {}}}, "covering"), ({"crs": "EPSG:4326"}, "PROJJSON")):
+        assert (found(g=g) == []) if said is None else (len(found(g=g)) == 1 and said in found(g=g)[0])
+    assert found(version="1.0.0", g={"encoding": "point"}) and found(columns={}) == ["`columns` describes no column"]
+
+
 def test_geojson(spark, tmp_path):
     doc = {"type": "FeatureCollection", "features": [{"properties": {"ECO_CODE": "A"}, "geometry": {"type": "Polygon", "coordinates": [square(0, 0, 1)]}}, {"properties": {"ECO_CODE": "B"}, "geometry": {"type": "MultiPolygon", "coordinates": [[square(2, 0, 1)], [square(4, 0, 1)]]}}]}
     (tmp_path / "a.geojson").write_text(json.dumps(doc))
