@@ -30,6 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most rows and bytes of text that go to Python in one batch. Texts take several times their bytes there, and buffers
+#: outside the heap on the JVM's side.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes this session hand texts to Python in small batches, unless it says smaller ones already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower().rstrip("b")
+        number, unit = now.rstrip("kmg"), now[len(now.rstrip("kmg")) :]
+        value = int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+        if not 0 < value <= most:
+            spark.conf.set(key, str(most))
+
+
 def blocks_for(docs: DataFrame, block_bytes: int = BLOCK_BYTES, row_bytes: int = 64) -> int:
     """How many blocks the rows of docs (text, ...) are dealt into, so that a block fits in a task's memory at any size: by
     the bytes of their texts, which are counted, and `row_bytes` for each row."""

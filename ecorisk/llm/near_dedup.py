@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecorisk.llm.common import among, as_rows, blocks_for, cut_by, flat_words, join_each, materialize, mix, odd_multipliers, release, rolling, table, texts_of, without
+from ecorisk.llm.common import among, as_rows, blocks_for, cut_by, flat_words, join_each, materialize, mix, odd_multipliers, release, rolling, slices, small_batches, table, texts_of, without
 from ecorisk.llm.components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -43,13 +43,14 @@ _POSTED = np.dtype([("key", "<u8"), ("n", "<u4"), ("doc", "<i8")])
 
 
 def shingle_sets(texts: list[bytes]):
-    """The sorted distinct 64-bit shingle hashes of each text."""
-    words, counts = flat_words(texts, lower=True)
-    at = 0
-    for n in counts.tolist():
-        own = words[at : at + n]
-        at += n
-        yield np.unique(rolling(own, min(WIDTH, n), 11)) if n else np.empty(0, np.uint64)
+    """The sorted distinct 64-bit shingle hashes of each text; words of about a megabyte of text are held at a time."""
+    for a, b in slices([len(t) for t in texts]):
+        words, counts = flat_words(texts[a:b], lower=True)
+        at = 0
+        for n in counts.tolist():
+            own = words[at : at + n]
+            at += n
+            yield np.unique(rolling(own, min(WIDTH, n), 11)) if n else np.empty(0, np.uint64)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -353,6 +354,7 @@ def joined(meeting: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
+    small_batches(docs.sparkSession)
     every = materialize(sign(docs))
     blocks = blocks_for(docs, row_bytes=8 * COORDINATES)
     posted = materialize(postings(every, blocks))

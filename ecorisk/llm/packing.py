@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ecorisk.llm.common import table, texts_of
+from ecorisk.llm.common import small_batches, table, texts_of
 from ecorisk.llm.tokens import encoder
 
 CAPACITY, GROUP, END = 2048, 256, 1
@@ -126,6 +126,7 @@ def pack(docs: DataFrame, path: str, end: int = END, capacity: int = CAPACITY, g
         if rests:
             yield record(windows())
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 

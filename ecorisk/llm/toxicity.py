@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecorisk.llm.common import bounded_rows, held_out, materialize, table, texts_of
+from ecorisk.llm.common import bounded_rows, held_out, materialize, small_batches, table, texts_of
 from ecorisk.llm.subwords import ngram_features, word_table
 
 BUCKETS, ORDERS, DIM = 1 << 18, range(3, 6), 8
@@ -99,6 +99,7 @@ def train(row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, labels: np.nd
 def bags(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, toxic, buckets, weights) of at most `rows` labelled texts of each class, none of them held out, written
     as a table. A row needs a label of 0 or 1; labels that contradict each other count as 1."""
+    small_batches(docs.sparkSession)
     marked = labels.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     chosen = [bounded_rows(marked.where(F.col("toxic") == k).select("doc_id", "toxic"), rows) for k in (0, 1)]
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
