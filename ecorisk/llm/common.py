@@ -191,3 +191,11 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
     if trim:
         trim(0)
+
+
+def shrink_heaps(spark: SparkSession) -> None:
+    """Has every executor's JVM collect its garbage and give free heap back to the machine, for the Python workers beside
+    it: a heap that earlier work has filled is otherwise held for good. As many tasks as there are cores reach them all
+    while they are idle; where some are busy or one is missed, nothing but memory is at stake."""
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc"))).collect()

@@ -14,8 +14,8 @@ import numpy as np
 
 from ecorisk.llm.common import slices, worker_cache
 
-#: Pieces remembered per worker; beyond it the memory is emptied and filled anew.
-CACHE_PIECES = 1_500_000
+#: Pieces, and characters of them, remembered per worker; beyond either the memory is emptied and filled anew.
+CACHE_PIECES, CACHE_CHARS = 600_000, 16 << 20
 #: Pieces of these characters alone (no white space, nothing that normalisation changes in length) are encoded many at a
 #: time, as one text, and told apart by the bytes that each id stands for; all others are encoded one by one.
 PLAIN = {"space": re.compile(r"[\n ][!-~¡-¬®-ÿ]+"), "words": re.compile(r"[!-~¡-¬®-ÿ]+")}
@@ -45,7 +45,7 @@ class Encoder(dict):
     def forget(self) -> None:
         self.clear()
         self.fresh: list[str] = []
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.flat, self.used, self.chars = np.zeros(1 << 16, np.uint32), 0, 0
         self.first, self.count, self.sure = [np.zeros(1 << 14, t) for t in (np.int64, np.int32, bool)]
 
     def __missing__(self, piece: str) -> int:
@@ -82,6 +82,7 @@ class Encoder(dict):
 
     def _learn(self) -> None:
         at, texts = len(self) - len(self.fresh), [self._written(x) for x in self.fresh]
+        self.chars += sum(map(len, self.fresh))
         if len(self) > len(self.first):
             self.first, self.count, self.sure = [np.concatenate([x, np.zeros(2 * len(self) - len(x), x.dtype)]) for x in (self.first, self.count, self.sure)]
         plain, gap = PLAIN[self.rule].fullmatch, " " if self.rule == "words" else ""
@@ -106,7 +107,7 @@ class Encoder(dict):
     def encode(self, texts: list[str], end: int):
         """The ids of each text with `end` after them, in order."""
         for a, b in slices([len(t) for t in texts]):
-            if len(self) > CACHE_PIECES:
+            if len(self) > CACHE_PIECES or self.chars > CACHE_CHARS:
                 self.forget()
             split = [self.pieces(t) if t else [] for t in texts[a:b]]
             sizes = np.array([len(x) for x in split], np.int64)

@@ -215,6 +215,29 @@ def test_encoders_agree_with_the_library():
             assert ids.tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 7], t
 
 
+def test_encoder_bounds_the_characters_it_remembers():
+    from ecorisk.llm import tokens
+
+    e = tokens.Encoder(public_tokenizers.path(packing.VOCABULARY), "space")
+    long = [f"{k}" + "語" * 300000 for k in range(60)]  # no white space: each text is one piece
+    for t, ids in zip(long, e.encode(long, 7), strict=True):
+        if t[:1] == "5":
+            assert ids.tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 7]
+    assert sum(map(len, e)) <= 16 << 20
+
+
+def test_pipeline_collects_garbage_before_packing(spark, docs):
+    import corpus_pipeline
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before = collections()
+    corpus_pipeline.pack(spark, docs[0], "")
+    assert collections() > before
+
+
 def test_warc(spark):
     big = "é" * 600
     rows = [(1, "http://a b\r\nX: y", big), (2, None, big), (3, "u", None), (4, "u", "small"), (5, "u", "small"), (6, "u", "z" * 3000000), (None, "u", big)]
